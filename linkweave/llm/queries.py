@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from linkweave.llm import mixing
+from linkweave.llm import mixing, secrets
 
 QUERIES = {
+    "op3_secret_scan": secrets.op3_query,
     "op9_mix_sources": mixing.op9_query,
 }
 
