@@ -164,38 +164,38 @@ class Codec:
             for ws in held:
                 yield b"".join(map(self.known.__getitem__, ws))
 
-    def decode(self, ids: bytes) -> bytes:
-        flat = np.frombuffer(ids, dtype="<u4")
-        if not len(flat):
-            return b""
-        cuts = np.flatnonzero(self.opens[flat]) * 4
+    def runs_of(self, ids: bytes) -> list[bytes]:
+        """The ids cut before each token that opens with white space."""
+        cuts = np.flatnonzero(self.opens[np.frombuffer(ids, dtype="<u4")]) * 4
         cuts = [0, *cuts[cuts > 0].tolist(), len(ids)]
-        runs = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        new = list(set(runs) - self.runs.keys())
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if ids else []
+
+    def learn_runs(self, runs: set[bytes]) -> None:
+        """Put the bytes of all these runs into ``runs``."""
+        if len(self.runs) + len(runs) > KNOWN_RUNS:
+            self.runs = {}
+        new = [x for x in runs if x not in self.runs]
         if new:
-            if len(self.runs) + len(new) > KNOWN_RUNS:
-                self.runs, new = {}, list(set(runs))
             sizes = np.array([len(x) // 4 for x in new])
             tokens = np.frombuffer(b"".join(new), dtype="<u4").astype(np.int32)
-            p = np.arange(len(tokens)).astype(np.int32)
+            p = np.arange(len(tokens), dtype=np.int32)
             self.db.register("tokens", pa.table({"d": np.repeat(np.arange(len(new), dtype=np.int32), sizes), "p": p, "id": tokens}))
             out = self.db.sql(DECODE).to_arrow_table()
             self.db.unregister("tokens")
             self.runs.update(zip(new, map(bytes.fromhex, out["hex"].to_pylist()), strict=True))
-        return b"".join(map(self.runs.__getitem__, runs))
 
-    def decode_all(self, many: list[bytes]) -> list[bytes]:
-        """As ``decode`` for each, with one query for the new runs of a block."""
-        out, at = [], 0
+    def decode_all(self, many: list[bytes]) -> Iterator[bytes]:
+        """The bytes that each text's ids stand for."""
+        at = 0
         while at < len(many):
-            end, size = at + 1, len(many[at])
-            while end < len(many) and size + len(many[end]) <= BLOCK_CHARS:
-                size += len(many[end])
-                end += 1
-            self.decode(b"".join(many[at:end]))
-            out += [self.decode(x) for x in many[at:end]]
-            at = end
-        return out
+            held, size = [], 0
+            while at < len(many) and (not held or size + len(many[at]) <= BLOCK_CHARS):
+                held.append(self.runs_of(many[at]))
+                size += len(many[at])
+                at += 1
+            self.learn_runs(set().union(*held))
+            for runs in held:
+                yield b"".join(map(self.runs.__getitem__, runs))
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -232,7 +232,7 @@ def encode_column(df: DataFrame, keep: list[str], path: str | None = None, patte
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 ids = list(codec.encode_all([x or "" for x in part.column(part.num_columns - 1).to_pylist()]))
-                back = codec.decode_all(ids)
+                back = list(codec.decode_all(ids))
                 cols = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
                 own = [] if digests else [pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own, *cols], names=names)
