@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, mixing, secrets, simhash
+from linkweave.llm import bpe, embedding_dedup, mixing, secrets, simhash
 
 QUERIES = {
     "op3_secret_scan": secrets.op3_query,
     "op4_simhash_near_dedup": simhash.op4_query,
+    "op5_embedding_near_dedup": embedding_dedup.op5_query,
     "op8_byte_bpe": bpe.op8_query,
     "op9_mix_sources": mixing.op9_query,
 }
