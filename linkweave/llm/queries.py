@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, embedding_dedup, mixing, secrets, simhash
+from linkweave.llm import bpe, embedding_dedup, mixing, secrets, simhash, topk
 
 QUERIES = {
     "op3_secret_scan": secrets.op3_query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op5_embedding_near_dedup": embedding_dedup.op5_query,
     "op8_byte_bpe": bpe.op8_query,
     "op9_mix_sources": mixing.op9_query,
+    "op10_exact_top_k": topk.op10_query,
 }
 
 SQL = {
     "op9_mix_sources": mixing.OP9_SQL,
+    "op10_exact_top_k": topk.OP10_SQL,
 }
