@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, embedding_dedup, line_dedup, mixing, secrets, simhash, topk
+from linkweave.llm import bpe, embedding_dedup, licences, line_dedup, mixing, secrets, simhash, topk
 
 QUERIES = {
     "op3_secret_scan": secrets.op3_query,
     "op4_simhash_near_dedup": simhash.op4_query,
     "op5_embedding_near_dedup": embedding_dedup.op5_query,
+    "op6_licence_scan": licences.op6_query,
     "op7_line_dedup": line_dedup.op7_query,
     "op8_byte_bpe": bpe.op8_query,
     "op9_mix_sources": mixing.op9_query,
