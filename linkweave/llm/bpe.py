@@ -1,20 +1,20 @@
 """Byte-level BPE encoding and decoding with DuckDB inside each partition.
 
-Encoding: the pattern cuts a text into words.  Words that the worker has not
+Encoding: the pattern cuts a text into words.  (A space before a non-space
+always opens a word; pieces cut there are looked up whole, so that the pattern
+runs once for each distinct piece.)  Words that the worker has not
 seen yet become token-position rows; a recursive query joins neighbouring rows
 with the merge table, contracts each word's leftmost pair of minimum rank, and
 ends where no word has a pair left.  A text's ids are its words' ids in order.
 
-Decoding needs the ids alone: they are cut into runs before tokens that start
-with white space, each distinct run is joined with the vocabulary and put
-together by an ordered aggregation.
+Decoding needs the ids alone: token rows join the vocabulary, and an ordered
+aggregation puts each text's bytes together.
 
 Words of more than ``LONG_WORD`` bytes would need one recursion step for each
 contraction; for them a heap takes the same pairs in the same order.
 
-Memory is bounded: words and runs of at most ``BLOCK_CHARS`` characters (or one
-text) are held at a time, and the worker's tables of known words and runs are
-emptied when full.
+Memory is bounded: words of at most ``BLOCK_CHARS`` characters (or one text) are
+held at a time, and the worker's tables of known words are emptied when full.
 
 Defined cases: a null text is empty and has no ids; repeated rows and null ids
 give rows of their own; further columns are ignored; whole texts are encoded.
@@ -37,23 +37,26 @@ from linkweave.llm.common import table
 
 LONG_WORD = 256
 BLOCK_CHARS = 1_000_000
-KNOWN_WORDS = 400_000
-KNOWN_RUNS = 200_000
+KNOWN_WORDS = 500_000
 #: Token rows that one recursive query may make: the sum of squared lengths.
 QUERY_ROWS = 3_000_000
 
+# Fixed value: the pattern whose words never cross a space before a non-space.
+SPACE_LED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ENCODE = """
-WITH RECURSIVE s(n, w, p, t) AS (
-  SELECT 0, w, p, t FROM start
+WITH RECURSIVE s(n, w, p, t, next_p, next_t) AS (
+  SELECT 0, w, p, t, p + 1, next_t FROM start
   UNION ALL
-  SELECT x.n + 1, x.w, x.p, CASE WHEN x.p = best.p THEN best.r ELSE x.t END
-  FROM (SELECT n, w, p, t, lag(p) OVER (PARTITION BY w ORDER BY p) AS left_p FROM s) x
-  JOIN (SELECT w, min_by(p, r * 1048576 + p) AS p, min(r) AS r
-        FROM (SELECT y.w, y.p, CAST(m.r AS BIGINT) AS r
-              FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS next_t FROM s) y
-              JOIN merges m ON m.a = y.t AND m.b = y.next_t)
-        GROUP BY w) best ON best.w = x.w
-  WHERE x.left_p IS DISTINCT FROM best.p),
+  SELECT s.n + 1, s.w, s.p, CASE WHEN s.p = c.p THEN c.r ELSE s.t END,
+    CASE WHEN s.p = c.p THEN c.after_p ELSE s.next_p END,
+    CASE WHEN s.p = c.p THEN c.after_t WHEN s.next_p = c.p THEN c.r ELSE s.next_t END
+  FROM s JOIN (
+    SELECT best.w, best.p, best.r, best.gone, x.next_p AS after_p, x.next_t AS after_t
+    FROM (SELECT s.w, min(m.r) AS r, min_by(s.p, CAST(m.r AS BIGINT) * 1048576 + s.p) AS p,
+                 min_by(s.next_p, CAST(m.r AS BIGINT) * 1048576 + s.p) AS gone
+          FROM s JOIN merges m ON m.a = s.t AND m.b = s.next_t GROUP BY s.w) best
+    JOIN s x ON x.w = best.w AND x.p = best.gone) c ON c.w = s.w
+  WHERE s.p <> c.gone),
 last AS (SELECT w, max(n) AS n FROM s GROUP BY w)
 SELECT w, t FROM s JOIN last USING (w, n) ORDER BY w, p
 """
@@ -73,12 +76,12 @@ class Codec:
 
         self.ranks = read_ranks(data)
         self.words_of = regex.compile(pattern).findall
+        self.cut_safely = pattern == SPACE_LED
+        self.odd_space = regex.compile(r" (?:\s|\Z)").search
         self.known: dict[str, bytes] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         ids = np.array(list(self.ranks.values()), dtype=np.int32)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
-        self.opens = np.zeros(int(ids.max()) + 1, dtype=bool)
-        self.opens[ids] = [b[:1].isspace() for b in self.ranks]
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1; SET memory_limit = '160MB'; SET preserve_insertion_order = false")
         self.merges = {}
@@ -120,7 +123,10 @@ class Codec:
         starts = np.cumsum(sizes) - sizes
         w = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
         p = (np.arange(len(flat)) - np.repeat(starts, sizes)).astype(np.int32)
-        self.db.register("start", pa.table({"w": w, "p": p, "t": self.byte[flat]}))
+        t = self.byte[flat]
+        after = np.append(t[1:], -1)
+        after[starts + sizes - 1] = -1
+        self.db.register("start", pa.table({"w": w, "p": p, "t": t, "next_t": after.astype(np.int32)}))
         out = self.db.sql(ENCODE).to_arrow_table()
         self.db.unregister("start")
         cuts = (np.searchsorted(out["w"].to_numpy(), np.arange(len(raw) + 1)) * 4).tolist()
@@ -150,52 +156,56 @@ class Codec:
         if todo:
             self._recursive(todo, raw)
 
+    def pieces_of(self, text: str) -> list[str]:
+        """The text cut where it surely begins a word: at a space before anything but white space."""
+        if self.odd_space(text):
+            return [text]
+        first, *rest = text.split(" ")
+        return [first, *map(" ".__add__, rest)] if first else [*map(" ".__add__, rest)]
+
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         at = 0
         while at < len(texts):
             held, chars = [], 0
             while at < len(texts) and (not held or chars + len(texts[at]) <= BLOCK_CHARS):
-                held.append(self.words_of(texts[at]))
+                held.append(self.pieces_of(texts[at]) if self.cut_safely and texts[at] else [texts[at]])
                 chars += len(texts[at])
                 at += 1
-            words = set().union(*held)
-            self.learn(words)
-            for ws in held:
-                yield b"".join(map(self.known.__getitem__, ws))
-
-    def runs_of(self, ids: bytes) -> list[bytes]:
-        """The ids cut before each token that opens with white space."""
-        cuts = np.flatnonzero(self.opens[np.frombuffer(ids, dtype="<u4")]) * 4
-        cuts = [0, *cuts[cuts > 0].tolist(), len(ids)]
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] if ids else []
-
-    def learn_runs(self, runs: set[bytes]) -> None:
-        """Put the bytes of all these runs into ``runs``."""
-        if len(self.runs) + len(runs) > KNOWN_RUNS:
-            self.runs = {}
-        new = [x for x in runs if x not in self.runs]
-        if new:
-            sizes = np.array([len(x) // 4 for x in new])
-            tokens = np.frombuffer(b"".join(new), dtype="<u4").astype(np.int32)
-            p = np.arange(len(tokens), dtype=np.int32)
-            self.db.register("tokens", pa.table({"d": np.repeat(np.arange(len(new), dtype=np.int32), sizes), "p": p, "id": tokens}))
-            out = self.db.sql(DECODE).to_arrow_table()
-            self.db.unregister("tokens")
-            self.runs.update(zip(new, map(bytes.fromhex, out["hex"].to_pylist()), strict=True))
+            pieces = set().union(*held)
+            if len(self.pieces) + len(pieces) > KNOWN_WORDS:
+                self.pieces = {}
+            new = [x for x in pieces if x not in self.pieces]
+            if self.cut_safely:  # letters after an optional space are one word
+                single = [x for x in new if x[1:].isalpha() and x[0] == " "]
+                mixed = [x for x in new if not (x[1:].isalpha() and x[0] == " ")]
+                words = [self.words_of(x) for x in mixed]
+            else:
+                mixed, words, single = new, [self.words_of(x) for x in new], []
+            self.learn(set(single).union(*words))
+            known = self.known.__getitem__
+            self.pieces.update(zip(single, map(known, single), strict=True))
+            self.pieces.update((x, b"".join(map(known, ws))) for x, ws in zip(mixed, words, strict=True))
+            for ps in held:
+                yield b"".join(map(self.pieces.__getitem__, ps))
 
     def decode_all(self, many: list[bytes]) -> Iterator[bytes]:
-        """The bytes that each text's ids stand for."""
+        """The bytes that each text's ids stand for: an ordered aggregation of its tokens."""
         at = 0
         while at < len(many):
-            held, size = [], 0
-            while at < len(many) and (not held or size + len(many[at]) <= BLOCK_CHARS):
-                held.append(self.runs_of(many[at]))
-                size += len(many[at])
-                at += 1
-            self.learn_runs(set().union(*held))
-            for runs in held:
-                yield b"".join(map(self.runs.__getitem__, runs))
+            end, size = at + 1, len(many[at])
+            while end < len(many) and size + len(many[end]) <= BLOCK_CHARS:
+                size += len(many[end])
+                end += 1
+            tokens = np.frombuffer(b"".join(many[at:end]), dtype="<u4").astype(np.int32)
+            owner = np.repeat(np.arange(end - at, dtype=np.int32), [len(x) // 4 for x in many[at:end]])
+            self.db.register("tokens", pa.table({"d": owner, "p": np.arange(len(tokens), dtype=np.int32), "id": tokens}))
+            out = self.db.sql(DECODE).to_arrow_table()
+            self.db.unregister("tokens")
+            found = dict(zip(out["d"].to_pylist(), out["hex"].to_pylist(), strict=True))
+            for i in range(end - at):
+                yield bytes.fromhex(found.get(i, ""))
+            at = end
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
