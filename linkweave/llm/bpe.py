@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ from linkweave.llm.common import table
 
 LONG_WORD = 256
 BLOCK_CHARS = 1_000_000
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 1_000_000
 #: Token rows that one recursive query may make: the sum of squared lengths.
 QUERY_ROWS = 3_000_000
 
@@ -77,9 +78,9 @@ class Codec:
         self.ranks = read_ranks(data)
         self.words_of = regex.compile(pattern).findall
         self.cut_safely = pattern == SPACE_LED
-        self.odd_space = regex.compile(r" (?:\s|\Z)").search
+        self.odd_space = re.compile(r" (?:\s|\Z)").search
+        #: Ids of words and of pieces alike.
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         ids = np.array(list(self.ranks.values()), dtype=np.int32)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.db = duckdb.connect()
@@ -135,8 +136,6 @@ class Codec:
 
     def learn(self, words: set[str]) -> None:
         """Put the ids of all these words into ``known``."""
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known = {}
         todo, raw, cost = [], [], 0
         for word in words:
             if word in self.known:
@@ -173,9 +172,9 @@ class Codec:
                 chars += len(texts[at])
                 at += 1
             pieces = set().union(*held)
-            if len(self.pieces) + len(pieces) > KNOWN_WORDS:
-                self.pieces = {}
-            new = [x for x in pieces if x not in self.pieces]
+            if len(self.known) + len(pieces) > KNOWN_WORDS:
+                self.known = {}
+            new = [x for x in pieces if x not in self.known]
             if self.cut_safely:  # letters after an optional space are one word
                 single = [x for x in new if x[1:].isalpha() and x[0] == " "]
                 mixed = [x for x in new if not (x[1:].isalpha() and x[0] == " ")]
@@ -184,10 +183,9 @@ class Codec:
                 mixed, words, single = new, [self.words_of(x) for x in new], []
             self.learn(set(single).union(*words))
             known = self.known.__getitem__
-            self.pieces.update(zip(single, map(known, single), strict=True))
-            self.pieces.update((x, b"".join(map(known, ws))) for x, ws in zip(mixed, words, strict=True))
+            self.known.update([(x, b"".join(map(known, ws))) for x, ws in zip(mixed, words, strict=True)])
             for ps in held:
-                yield b"".join(map(self.pieces.__getitem__, ps))
+                yield b"".join(map(known, ps))
 
     def decode_all(self, many: list[bytes]) -> Iterator[bytes]:
         """The bytes that each text's ids stand for: an ordered aggregation of its tokens."""
