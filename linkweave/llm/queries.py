@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from linkweave.llm import bpe, embedding_dedup, licences, line_dedup, mixing, secrets, simhash, topk, toxicity
+from linkweave.llm import bpe, embedding_dedup, licences, line_dedup, mixing, quality, secrets, simhash, topk, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_query,
     "op2_toxicity": toxicity.op2_query,
     "op3_secret_scan": secrets.op3_query,
     "op4_simhash_near_dedup": simhash.op4_query,
