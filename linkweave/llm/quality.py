@@ -39,9 +39,9 @@ from linkweave.plans.scratch import Scratch
 FREQUENT = 0.001
 #: Of the trusted documents one in so many sets the threshold instead of training.
 HOLD = 5
-QUANTILE = 0.99
+QUANTILE = 0.98
 #: The threshold lies this many times as far above the median (of log perplexity) as the quantile does.
-BEYOND = 1.5
+BEYOND = 2.5
 #: Tokens in a block, and words counted by a task before it reports them.
 BLOCK = 2_000_000
 COUNTED = 300_000
