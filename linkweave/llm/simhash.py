@@ -183,14 +183,3 @@ def near_duplicate_classes(docs: DataFrame, max_bits: int = 4, shingle: int = 4,
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id; same columns.
-
-    Documents without an id stay, as nothing can name them as copies.
-    """
-    scratch = Scratch(docs.sparkSession, "keep")
-    gone = near_duplicate_classes(docs, max_bits, shingle).filter("doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(scratch.write(gone, "gone"), "doc_id", "left_anti")
-    return rest.select(*docs.columns)
