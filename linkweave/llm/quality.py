@@ -45,7 +45,9 @@ BEYOND = 2.5
 #: Tokens in a block, and words counted by a task before it reports them.
 BLOCK = 2_000_000
 COUNTED = 300_000
-KNOWN = 500_000
+KNOWN = 300_000
+#: Up to so many languages, tables of one row for each are broadcast.
+FEW_LANGUAGES = 10_000
 
 START, END, REPEAT = 0, 1, 2
 CLASSES = 3 + 4 * 3 * 6
@@ -59,22 +61,58 @@ def word_class(word: str) -> int:
     return 3 + (case * 3 + form) * 6 + min(len(word), 20) // 4
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = {}
+def _count_words(frequent: float, asked: dict[str, set[str]] | None = None):
+    """Counts (lang, word, n) of a task's words and, as the word '', of all its words.
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang, c in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c)), pa.array(list(c)), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
+    Without ``asked``, only words that make up ``frequent`` of a stretch of the
+    task are reported; a word that is frequent in the whole is so in some
+    stretch.  With it, the counts of those words are reported.
+    """
 
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update(text.split())
-            if sum(map(len, counts.values())) > COUNTED:
-                yield from flush()
-                counts = {}
-    yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
+        total: Counter = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, c in counts.items():
+                if asked is None:
+                    found = {w: n for w, n in c.items() if n >= frequent * c.total()}
+                else:
+                    found = {w: c[w] for w in asked.get(lang, ()) if w in c}
+                found[""] = c.total()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+            counts.clear()
+            total.clear()
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    counts.setdefault(lang, Counter()).update(text.split())
+                if sum(map(len, counts.values())) > COUNTED:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def vocabulary_of(rows: DataFrame, frequent: float) -> dict[str, dict[str, int]]:
+    """Codes of each language's frequent words, at most 1 / frequent of them.
+
+    Two passes over the texts: candidates, then their counts.  Both hand over a
+    few rows for each stretch instead of all words.
+    """
+    schema = "lang string, word string, n long"
+    candidates: dict[str, set[str]] = {}
+    for lang, word in rows.mapInArrow(_count_words(frequent), schema).select("lang", "word").distinct().collect():
+        candidates.setdefault(lang, set()).add(word)
+    counted = rows.mapInArrow(_count_words(frequent, candidates), schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
+    total = {lang: n for lang, word, n in counted if not word}
+    out: dict[str, dict[str, int]] = {lang: {} for lang in total}
+    for lang, word, n in sorted(map(tuple, counted)):
+        if word and n >= frequent * total[lang]:
+            out[lang][word] = CLASSES + len(out[lang])
+    return out
 
 
 def _coding(vocabulary: dict[str, dict[str, int]]):
@@ -159,8 +197,12 @@ def _perplexities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([ids.values, pa.array([lang.as_py()] * len(n)), pa.array(n), pa.array(np.exp(-np.array(mean)))], names=["doc_id", "lang", "n_tokens", "perplexity"])
 
 
-def kneser_ney(counts: DataFrame, asked: DataFrame) -> DataFrame:
-    """(lang, key, logp) for the asked (lang, key) from trigram counts (lang, key, n)."""
+def kneser_ney(counts: DataFrame, asked: DataFrame, few_languages: bool = False) -> DataFrame:
+    """(lang, key, logp) for the asked (lang, key) from trigram counts (lang, key, n).
+
+    With ``few_languages``, tables of one row for each language are broadcast.
+    """
+    small = F.broadcast if few_languages else lambda df: df
     part = lambda i: F.shiftright("key", i * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
     c3 = counts.select("lang", part(2).alias("a"), part(1).alias("b"), part(0).alias("c"), "n")
     c2 = c3.groupBy("lang", "b", "c").agg(F.count("*").alias("n"))
@@ -173,7 +215,7 @@ def kneser_ney(counts: DataFrame, asked: DataFrame) -> DataFrame:
         return c.groupBy("lang").agg(F.array(*d).alias("d"))
 
     def discounted(c: DataFrame) -> DataFrame:
-        return c.join(discounts(c), "lang").withColumn("off", F.element_at("d", F.least("n", F.lit(3)).cast("int")))
+        return c.join(small(discounts(c)), "lang").withColumn("off", F.element_at("d", F.least("n", F.lit(3)).cast("int")))
 
     def context(c: DataFrame, keys: list[str], name: str) -> DataFrame:
         return c.groupBy(*keys).agg(F.sum("n").alias(f"t{name}"), F.sum("off").alias(f"g{name}"), F.count("*").alias(f"v{name}"))
@@ -182,7 +224,7 @@ def kneser_ney(counts: DataFrame, asked: DataFrame) -> DataFrame:
     q = asked.select("lang", "key", part(2).alias("a"), part(1).alias("b"), part(0).alias("c"))
     q = q.join(d3.select("lang", "a", "b", "c", (F.col("n") - F.col("off")).alias("x3")), ["lang", "a", "b", "c"], "left").join(context(d3, ["lang", "a", "b"], "3"), ["lang", "a", "b"], "left")
     q = q.join(d2.select("lang", "b", "c", (F.col("n") - F.col("off")).alias("x2")), ["lang", "b", "c"], "left").join(context(d2, ["lang", "b"], "2"), ["lang", "b"], "left")
-    q = q.join(d1.select("lang", "c", (F.col("n") - F.col("off")).alias("x1")), ["lang", "c"], "left").join(context(d1, ["lang"], "1"), "lang")
+    q = q.join(d1.select("lang", "c", (F.col("n") - F.col("off")).alias("x1")), ["lang", "c"], "left").join(small(context(d1, ["lang"], "1")), "lang")
     zero = F.lit(0.0)
     p1 = F.coalesce(F.col("x1"), zero) / F.col("t1") + F.greatest(F.col("g1"), F.lit(0.5)) / F.col("t1") / (F.col("v1") + 1)
     p2 = F.coalesce(F.col("x2") / F.col("t2"), zero) + F.coalesce(F.col("g2") / F.col("t2"), F.lit(1.0)) * p1
@@ -195,15 +237,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    words = scratch.write(rows.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    sizes = words.groupBy("lang").agg(F.sum("n").alias("all"))
-    often = words.join(sizes, "lang").filter(F.col("n") >= frequent * F.col("all")).select("lang", "word")
-    # At most 1 / frequent words of each language come to the driver.
-    vocabulary: dict[str, dict[str, int]] = {}
-    for lang, word in sorted(map(tuple, often.collect())):
-        own = vocabulary.setdefault(lang, {})
-        own[word] = CLASSES + len(own)
-    scratch.drop(words)
+    vocabulary = vocabulary_of(rows.select("lang", "text"), frequent)
     blocks = scratch.write(rows.mapInArrow(_coding(vocabulary), "block long, lang string, ids array<long>, sizes array<int>, codes binary, keys array<long>"), "blocks")
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).dropna().groupBy("doc_id").agg(F.max("q").alias("q")).filter("q > 0")
     good = good.withColumn("hold", F.pmod(F.xxhash64("doc_id"), F.lit(HOLD)) == 0)
@@ -211,7 +245,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     counts = blocks.join(members, "block").select("lang", "ids", "sizes", "codes", "good").mapInArrow(_trained, "lang string, key long, n long")
     counts = scratch.write(counts.groupBy("lang", "key").agg(F.sum("n").alias("n")), "counts")
     each = blocks.select("block", "lang", F.explode("keys").alias("key"))
-    logs = scratch.write(kneser_ney(counts, each.select("lang", "key").distinct()), "logs")
+    logs = scratch.write(kneser_ney(counts, each.select("lang", "key").distinct(), len(vocabulary) <= FEW_LANGUAGES), "logs")
     tables = each.join(logs, ["lang", "key"]).groupBy("block").agg(F.collect_list(F.struct("key", "logp")).alias("logs"))
     scored = blocks.join(tables, "block").select("lang", "ids", "sizes", "codes", "logs").mapInArrow(_perplexities, "doc_id long, lang string, n_tokens long, perplexity double")
     unscored = blocks.join(counts.select("lang").distinct(), "lang", "left_anti").select(F.explode(F.arrays_zip("ids", "sizes")).alias("z"), "lang")
