@@ -71,18 +71,17 @@ def _count_words(frequent: float, asked: dict[str, set[str]] | None = None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        total: Counter = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, c in counts.items():
+                least = frequent * c.total()
                 if asked is None:
-                    found = {w: n for w, n in c.items() if n >= frequent * c.total()}
+                    found = {w: n for w, n in c.items() if n >= least}
                 else:
                     found = {w: c[w] for w in asked.get(lang, ()) if w in c}
                 found[""] = c.total()
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
             counts.clear()
-            total.clear()
 
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -124,9 +123,9 @@ def _coding(vocabulary: dict[str, dict[str, int]]):
         known: dict[str, dict[str, int]] = {}
 
         def coded(lang: str, text: str) -> np.ndarray:
+            if sum(map(len, known.values())) > KNOWN:
+                known.clear()
             own = known.setdefault(lang, dict(vocabulary.get(lang, {})))
-            if len(own) > KNOWN:
-                own = known[lang] = dict(vocabulary.get(lang, {}))
             words = text.split()
             for w in set(words):
                 if w not in own:
