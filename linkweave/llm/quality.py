@@ -24,6 +24,7 @@ labels and ids that are null don't count.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -142,7 +143,7 @@ def _coding(vocabulary: dict[str, dict[str, int]]):
             number += 1
             keys = np.unique(np.concatenate([trigrams(x) for x in docs]))
             one = lambda x, t: pa.array([x], t)
-            return pa.RecordBatch.from_arrays([one((pid << 32) + number, pa.int64()), one(lang, pa.string()), one(list(ids), pa.list_(pa.int64())), one([len(x) for x in docs], pa.list_(pa.int32())), one(np.concatenate(docs).tobytes(), pa.binary()), one(keys.tolist(), pa.list_(pa.int64()))], names=["block", "lang", "ids", "sizes", "codes", "keys"])
+            return pa.RecordBatch.from_arrays([one((pid << 32) + number, pa.int64()), one(lang, pa.string()), one(list(ids), pa.list_(pa.int64())), one([len(x) for x in docs], pa.list_(pa.int32())), one(zlib.compress(np.concatenate(docs).tobytes(), 1), pa.binary()), one(keys.tolist(), pa.list_(pa.int64()))], names=["block", "lang", "ids", "sizes", "codes", "keys"])
 
         sizes: Counter = Counter()
         for batch in batches:
@@ -170,7 +171,7 @@ def trigrams(ids: np.ndarray) -> np.ndarray:
 
 def _documents(sizes: pa.Scalar, codes: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
     n = np.array(sizes.values, dtype=np.int64)
-    return n, np.split(np.frombuffer(codes.as_buffer(), dtype=np.uint16), np.cumsum(n)[:-1])
+    return n, np.split(np.frombuffer(zlib.decompress(codes.as_buffer()), dtype=np.uint16), np.cumsum(n)[:-1])
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +187,10 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _perplexities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, ids, sizes, codes, table_ in zip(*batch.columns, strict=True):
-            keys = np.array(table_.values.field(0), dtype=np.int64)
-            logs = np.array(table_.values.field(1), dtype=float)
-            order = np.argsort(keys)
-            keys, logs = keys[order], logs[order]
+        for lang, ids, sizes, codes, keys, table_ in zip(*batch.columns, strict=True):
+            keys = np.array(keys.values, dtype=np.int64)
+            logs = np.empty(len(keys))
+            logs[np.array(table_.values.field(0))] = np.array(table_.values.field(1))
             n, docs = _documents(sizes, codes)
             mean = [float(logs[np.searchsorted(keys, trigrams(d))].mean()) for d in docs]
             yield pa.RecordBatch.from_arrays([ids.values, pa.array([lang.as_py()] * len(n)), pa.array(n), pa.array(np.exp(-np.array(mean)))], names=["doc_id", "lang", "n_tokens", "perplexity"])
@@ -243,10 +243,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     members = blocks.select("block", F.explode("ids").alias("doc_id")).join(good.filter("NOT hold"), "doc_id").groupBy("block").agg(F.collect_set("doc_id").alias("good"))
     counts = blocks.join(members, "block").select("lang", "ids", "sizes", "codes", "good").mapInArrow(_trained, "lang string, key long, n long")
     counts = scratch.write(counts.groupBy("lang", "key").agg(F.sum("n").alias("n")), "counts")
-    each = blocks.select("block", "lang", F.explode("keys").alias("key"))
+    each = blocks.select("block", "lang", F.posexplode("keys").alias("at", "key"))
     logs = scratch.write(kneser_ney(counts, each.select("lang", "key").distinct(), len(vocabulary) <= FEW_LANGUAGES), "logs")
-    tables = each.join(logs, ["lang", "key"]).groupBy("block").agg(F.collect_list(F.struct("key", "logp")).alias("logs"))
-    scored = blocks.join(tables, "block").select("lang", "ids", "sizes", "codes", "logs").mapInArrow(_perplexities, "doc_id long, lang string, n_tokens long, perplexity double")
+    tables = each.join(logs, ["lang", "key"]).select("block", F.struct("at", F.col("logp").cast("float")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("logs"))
+    scored = blocks.join(tables, "block").select("lang", "ids", "sizes", "codes", "keys", "logs").mapInArrow(_perplexities, "doc_id long, lang string, n_tokens long, perplexity double")
     unscored = blocks.join(counts.select("lang").distinct(), "lang", "left_anti").select(F.explode(F.arrays_zip("ids", "sizes")).alias("z"), "lang")
     scored = scratch.write(scored.unionByName(unscored.select(F.col("z.ids").alias("doc_id"), "lang", F.col("z.sizes").cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"))), "scored")
     limits = scored.join(good.filter("hold"), "doc_id").groupBy("lang").agg(F.percentile_approx("perplexity", [0.5, quantile], 100_000).alias("q"))
