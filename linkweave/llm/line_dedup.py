@@ -177,16 +177,17 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = Fals
     scratch = Scratch(docs.sparkSession, "lines")
     gone = scratch.write(repeated_lines(docs, min_words, scratch), "gone")
     gone = gone.select(F.when(F.col("no_id") == 0, F.col("id")).alias("__id"), F.col("hash").alias("__hash"), F.col("gone").alias("__gone"))
-    match = docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
-    out = docs.join(gone, match, "left")
-    changed = F.when(F.col("__gone").isNotNull(), F.pandas_udf(_without, "string")("text", "__gone")).otherwise(F.col("text"))
-    columns = {"text": changed}
-    if report:
-        columns |= {"n_lines": F.size(F.split("text", "\n", -1)), "gone": F.col("__gone")}
-    out = out.withColumns(columns)
+    packed = docs.select(F.struct(*docs.columns).alias("__doc"))
+    of = lambda c: F.col("__doc").getField(c)
+    match = of("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(of("text")) == F.col("__hash"))
+    cut = F.col("__gone").isNotNull()
+    text = F.when(cut, F.pandas_udf(_without, "string")(of("text"), "__gone")).otherwise(of("text"))
+    out = packed.join(gone, match, "left").select("__doc", "__gone", text.alias("__text"))
+    new = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, *(["n_lines", "gone"] if report else []))
+        new["n_chars"] = F.when(cut, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(of("n_chars"))
+    more = [F.size(F.split(of("text"), "\n", -1)).alias("n_lines"), F.col("__gone").alias("gone")] if report else []
+    return out.select(*[new.get(c, of(c)).alias(c) for c in docs.columns], *more)
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,10 +94,10 @@ def mix(sized: DataFrame, stats: DataFrame | None = None, weights: Sequence[int]
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix: each as often as it is taken; same columns."""
     names = docs.columns
-    sized = sized_rows(docs)
-    mixed = mix(sized)
-    repeated = mixed.filter("copies > 0").withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*names)
+    sized = sized_rows(docs.select("doc_id", "source", "text", F.struct(*names).alias("__doc"))).drop("text")
+    mixed = mix(sized.withColumnRenamed("__doc", "document"), sized.select("source", "size", "__key"))
+    repeated = mixed.filter("copies > 0").select("document", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col("document").getField(c).alias(c) for c in names])
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
