@@ -50,6 +50,9 @@ KNOWN = 300_000
 #: Up to so many languages, tables of one row for each are broadcast.
 FEW_LANGUAGES = 10_000
 
+#: Discounts are at least this, so that even small tables leave something for unseen trigrams.
+LEAST_DISCOUNT = 0.1
+
 START, END, REPEAT = 0, 1, 2
 CLASSES = 3 + 4 * 3 * 6
 BITS = 21
@@ -210,7 +213,7 @@ def kneser_ney(counts: DataFrame, asked: DataFrame, few_languages: bool = False)
     def discounts(c: DataFrame) -> DataFrame:
         n = [F.greatest(F.sum((F.col("n") == i).cast("double")), F.lit(1.0)) for i in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1])
-        d = [F.greatest(F.lit(0.0), F.least(F.lit(float(i)), i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
+        d = [F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(i)), i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
         return c.groupBy("lang").agg(F.array(*d).alias("d"))
 
     def discounted(c: DataFrame) -> DataFrame:

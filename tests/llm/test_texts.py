@@ -93,7 +93,7 @@ def brute_kneser_ney(docs, asked):
     def off(c):
         n = [max(1, sum(v == i for v in c.values())) for i in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1])
-        d = [min(i, max(0, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
+        d = [max(quality.LEAST_DISCOUNT, min(i, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
         return lambda v: d[min(v, 3) - 1]
 
     offs = [off(c) for c in (c1, c2, c3)]
