@@ -3,9 +3,11 @@
 The rule that makes results unique: a vertex's parent is its smallest neighbour
 one step nearer to the source.
 
-Components are searched apart.  One with at most ``GROUP_EDGES`` edges is given
-to one task as a sorted adjacency array; larger ones are searched level by
-level with joins, the state of each level written to the shared folder.
+Components with at most ``GROUP_EDGES`` edges are packed into groups of about
+that size; a group is a sorted adjacency array in one task, and one sweep
+searches from one source of each of its components.  Larger components are
+searched level by level with joins, the state of each level written to the
+shared folder.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from linkweave.operators.graph import Graph, symmetric
 from linkweave.plans.scratch import Scratch
 
 GROUP_EDGES = 200_000
+NONE = -(2**63)
 
 
 class Arrays:
@@ -33,11 +36,10 @@ class Arrays:
         self.to = v[order]
         self.start = np.searchsorted(u[order], np.arange(len(self.ids) + 1))
 
-    def search(self, source: int) -> tuple[np.ndarray, np.ndarray]:
-        """(distance, parent) by index; -1 where unreached or without parent."""
-        dist = np.full(len(self.ids), -1)
-        parent = np.full(len(self.ids), -1)
-        dist[source], level, front = 0, 0, np.array([source])
+    def search(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distance, parent, start) by index from starts in different components; -1 where unreached or without parent."""
+        dist, parent, origin = (np.full(len(self.ids), -1) for _ in range(3))
+        dist[starts], origin[starts], level, front = 0, starts, 0, np.asarray(starts)
         while len(front):
             level += 1
             sizes = self.start[front + 1] - self.start[front]
@@ -49,18 +51,20 @@ class Arrays:
             order = np.lexsort((came, to))
             front, first = np.unique(to[order], return_index=True)
             dist[front], parent[front] = level, came[order][first]
-        return dist, parent
+            origin[front] = origin[parent[front]]
+        return dist, parent, origin
 
 
 def _search_group(edges: pd.DataFrame, sources: pd.DataFrame) -> pd.DataFrame:
     out = []
     if len(edges):
         g = Arrays(edges["src"].to_numpy(), edges["dst"].to_numpy())
-        for s in np.unique(sources["source"].to_numpy()):
-            dist, parent = g.search(int(np.searchsorted(g.ids, s)))
+        sources = sources.drop_duplicates().sort_values(["comp", "source"])
+        for _, one in sources.groupby(sources.groupby("comp").cumcount()):
+            dist, parent, origin = g.search(np.searchsorted(g.ids, one["source"].to_numpy()))
             hit = dist >= 0
-            up = np.where(parent[hit] >= 0, g.ids[parent[hit]], np.iinfo(np.int64).min)
-            out.append(pd.DataFrame({"source": s, "id": g.ids[hit], "dist": dist[hit], "parent": up}))
+            up = np.where(parent[hit] >= 0, g.ids[parent[hit]], NONE)
+            out.append(pd.DataFrame({"source": g.ids[origin[hit]], "id": g.ids[hit], "dist": dist[hit], "parent": up}))
     if not out:
         return pd.DataFrame({"source": [], "id": [], "dist": [], "parent": []}).astype("int64")
     return pd.concat(out)
@@ -98,8 +102,11 @@ def search(g: Graph, sources: DataFrame, group_edges: int = GROUP_EDGES) -> Data
     edges = scratch.write(edges.select("src", "dst", "comp"), "edges")
     sizes = edges.groupBy("comp").agg(F.count("*").alias("m"))
     large = scratch.write(sizes.filter(F.col("m") > group_edges).select("comp"), "large")
-    small = edges.join(large, "comp", "left_anti").groupBy("comp").cogroup(placed.dropna().join(large, "comp", "left_anti").groupBy("comp"))
-    found = small.applyInPandas(_search_group, "source long, id long, dist long, parent long").withColumn("parent", F.when(F.col("parent") != -(2**63), F.col("parent")))
+    total = edges.count()
+    group = F.pmod(F.xxhash64("comp"), F.lit(max(1, -(-total // max(1, group_edges))))).alias("group")
+    left = edges.join(large, "comp", "left_anti").select("src", "dst", group).groupBy("group")
+    right = placed.dropna().join(large, "comp", "left_anti").select("source", "comp", group).groupBy("group")
+    found = left.cogroup(right).applyInPandas(_search_group, "source long, id long, dist long, parent long").withColumn("parent", F.when(F.col("parent") != NONE, F.col("parent")))
     if not large.isEmpty():
         more = _search_levels(edges.join(large, "comp", "left_semi").select("src", "dst"), placed.join(large, "comp", "left_semi").select("source"), scratch)
         found = found.unionByName(more)
@@ -123,32 +130,31 @@ def climb(tree: DataFrame, starts: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _paths_group(tree: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
-    up = dict(zip(tree["id"], tree["up"], strict=True))
+    up = dict(zip(zip(tree["source"], tree["id"], strict=True), tree["up"], strict=True))
     out = []
-    for key, t in zip(ends["key"], ends["id"], strict=True):
-        path = [t] if t in up else []
-        while path and up[path[-1]] != NONE:
-            path.append(up[path[-1]])
+    for key, s, t in zip(ends["key"], ends["source"], ends["id"], strict=True):
+        path = [t] if (s, t) in up else []
+        while path and up[s, path[-1]] != NONE:
+            path.append(up[s, path[-1]])
         out.append((key, path[::-1] if path else None))
     return pd.DataFrame(out, columns=["key", "path"])
 
 
-NONE = -(2**63)
-
-
 def paths_up(tree: DataFrame, ends: DataFrame) -> DataFrame:
     """(key, path from the source to the end) for ``ends(key, source, id)`` in a search's result.
 
-    A task holds the search of one source; searches of more than
-    ``GROUP_EDGES`` vertices climb by joins.
+    A task holds searches of about ``GROUP_EDGES`` vertices in all; a single
+    search of more vertices climbs by joins.
     """
     scratch = Scratch(tree.sparkSession, "paths")
     ends = scratch.write(ends.select("key", "source", "id"), "ends")
     sizes = tree.groupBy("source").agg(F.count("*").alias("n"))
     large = scratch.write(sizes.filter(F.col("n") > GROUP_EDGES).select("source"), "large")
-    small = tree.join(large, "source", "left_anti").select("source", "id", F.coalesce("parent", F.lit(NONE)).alias("up"))
-    left = small.groupBy("source").cogroup(ends.join(large, "source", "left_anti").groupBy("source"))
-    out = left.applyInPandas(_paths_group, "key long, path array<long>")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    group = F.pmod(F.xxhash64("source"), F.lit(max(1, -(-total // max(1, GROUP_EDGES))))).alias("group")
+    small = tree.join(large, "source", "left_anti").select(group, "source", "id", F.coalesce("parent", F.lit(NONE)).alias("up"))
+    right = ends.join(large, "source", "left_anti").select(group, "key", "source", "id")
+    out = small.groupBy("group").cogroup(right.groupBy("group")).applyInPandas(_paths_group, "key long, path array<long>")
     if not large.isEmpty():
         steps = climb(tree.join(large, "source", "left_semi"), ends.join(large, "source", "left_semi").join(tree.select("source", "id"), ["source", "id"], "left_semi"), scratch)
         way = steps.groupBy("key").agg(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("step", "id")))), lambda x: x["id"]).alias("path"))
