@@ -30,8 +30,9 @@ WEIGHTS = (5, 2, 1)
 #: A source's target never exceeds so many times its size.
 MAX_EPOCHS = 3
 SEED = "mix-1"
-#: Rows of one source that one slice of the key range holds on average.
-SLICE_ROWS = 2_000
+#: Rows of the largest source that one slice of the key range holds on average, and the most slices.
+SLICE_ROWS = 500
+MAX_SLICES = 65_536
 
 OUT = ("size", "source_size", "target", "taken", "copies")
 
@@ -73,7 +74,7 @@ def mix(sized: DataFrame, stats: DataFrame | None = None, weights: Sequence[int]
     stats = sized if stats is None else stats
     targets = source_targets(stats, weights, max_epochs)
     most = targets.agg(F.max("rows")).first()[0] or 0
-    slices = max(1, -(-most // SLICE_ROWS))
+    slices = min(MAX_SLICES, max(1, -(-most // SLICE_ROWS)))
     part = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * slices / F.lit(float(2**32)))
     own = [F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target")]
     sums = stats.groupBy("source", part.alias("__part")).agg(F.sum("size").alias("__sum"))

@@ -37,7 +37,7 @@ from linkweave.llm.common import table
 
 HELD_OUT = 2
 THRESHOLD = 0.3
-SAMPLE = 4_000
+SAMPLE = 2_500
 MAX_FEATURES = 20_000
 #: Word beginnings of these lengths are features besides the whole word.
 STEMS = (3, 4, 5, 6)
