@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids (packed), n_tokens and digests of ids and decoded text."""
-    return bpe.encode_column(docs, ["doc_id", "lang", "source"])
+    return bpe.encode_column(docs, ["doc_id", "lang", "source"], reuse=False)
 
 
 STAGES = [

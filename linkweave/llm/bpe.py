@@ -225,9 +225,12 @@ def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[byt
         return f.read(), pattern or public_tokenizers.PATTERN
 
 
-def encode_column(df: DataFrame, keep: list[str], path: str | None = None, pattern: str | None = None, digests: bool = False) -> DataFrame:
+def encode_column(df: DataFrame, keep: list[str], path: str | None = None, pattern: str | None = None, digests: bool = False, reuse: bool = True) -> DataFrame:
     """Columns ``keep`` of ``df`` (longs or strings) and the text's ids.
 
+    With ``reuse`` a Python worker keeps its table of known words for its next
+    tasks: about a third less work, up to 300 MB held between tasks.
+
     With ``digests`` only: n_tokens, ids_sha256, decoded_sha256; else also
     ``ids`` (packed little-endian unsigned 32-bit integers).
     """
@@ -244,6 +247,9 @@ def encode_column(df: DataFrame, keep: list[str], path: str | None = None, patte
                 cols = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
                 own = [] if digests else [pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own, *cols], names=names)
+        if not reuse:
+            codec.db.close()
+            _CODECS.clear()
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), *([] if digests else ["ids binary"]), "n_tokens long, ids_sha256 string, decoded_sha256 string"])
