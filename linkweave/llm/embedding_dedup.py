@@ -162,3 +162,16 @@ def near_vectors(df: DataFrame, threshold: float = THRESHOLD, tables: int = TABL
 
 def op5_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND list_inner_product(embedding, embedding) > 0),
+l AS (SELECT a.vec_id AS s, b.vec_id AS t FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= {THRESHOLD}),
+c(v, k) USING KEY (v) AS (
+  SELECT DISTINCT s, s FROM l
+  UNION (SELECT l.t, min(u.k) FROM c u JOIN l ON u.v = l.s JOIN recurring.c o ON o.v = l.t WHERE u.k < o.k GROUP BY l.t))
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(k, vec_id) AS component_id, coalesce(k, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN (SELECT s, count(*) AS n FROM l GROUP BY s) ON s = vec_id LEFT JOIN c ON v = vec_id
+"""

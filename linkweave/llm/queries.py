@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_embedding_near_dedup": embedding_dedup.OP5_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
     "op10_exact_top_k": topk.OP10_SQL,
 }
