@@ -248,8 +248,7 @@ def encode_column(df: DataFrame, keep: list[str], path: str | None = None, patte
                 own = [] if digests else [pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own, *cols], names=names)
         if not reuse:
-            codec.db.close()
-            _CODECS.clear()
+            codec.known = {}
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), *([] if digests else ["ids binary"]), "n_tokens long, ids_sha256 string, decoded_sha256 string"])
