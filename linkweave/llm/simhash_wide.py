@@ -2,13 +2,15 @@
 
 At that resemblance 64 bits differ in ten places, too many to tell from chance
 safely.  Here a fingerprint has 256 bits: four words of majority bits over four
-independent hashes of the text's distinct shingles.  The first three words are
-cut into segments of about log2(documents) bits.  Every fingerprint is put
-under all values of the radius-1 Hamming ball of a segment, so that two of them
-meet if the segment differs in two bits at most; so many segments are used that
-a pair with ``EXPECTED`` differing bits in a hundred meets with a probability
-of ``RECALL``.  Meetings whose fourth word is too far apart are dropped at
-once, the rest is verified over all 256 bits.
+independent hashes of the text's distinct shingles.  The words are cut into
+segments of about log2(documents) bits.  Every fingerprint is put under all
+values of the radius-1 Hamming ball of a segment, so that two of them meet if
+the segment differs in two bits at most; so many segments are used that a pair
+with a share of ``EXPECTED`` differing bits meets with a probability of
+``RECALL`` at any number of documents.  Where the disjoint segments of the
+words don't suffice, further rounds cut all 256 bits again in other orders.
+Meetings whose fourth word is too far apart are dropped at once, the rest is
+verified over all 256 bits.
 
 Dense groups are treated as in the exact operator: equal fingerprints are one,
 buckets are linked with one member first, and meetings within a component that
@@ -21,13 +23,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import comb
+from random import Random
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.llm.simhash import BLOCK, SEED, ball
+from linkweave.llm.simhash import BLOCK, SEED, _flipped, _signed, ball
 from linkweave.operators.components import component_labels
 from linkweave.plans.scratch import Scratch
 
@@ -76,13 +79,50 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
 
 
-def plan_wide(count: int) -> tuple[int, list[tuple[str, int]]]:
-    """(bits of a segment, (word, shift) of the segments used)."""
+def _round(bits: int, number: int) -> list[list[int]]:
+    """Disjoint segments over all 256 bits, as masks over the four words.
+
+    No two bits of a segment have the same place in their words.  Round 0 takes
+    runs of each word, the fourth one's last; each other round has an order of
+    its own.
+    """
+    if number == 0:
+        runs = [((1 << bits) - 1) << (s * bits) for s in range(64 // bits)]
+        return [[m if w == i else 0 for i in range(4)] for own in ((0, 1, 2), (3,)) for m in runs for w in own]
+    rng = Random(number)
+    words = [rng.sample(range(4), 4) for _ in range(64)]
+    out = []
+    for layer in range(4):
+        order = rng.sample(range(64), 64)
+        for s in range(64 // bits):
+            masks = [0] * 4
+            for p in order[s * bits : (s + 1) * bits]:
+                masks[words[p][layer]] |= 1 << p
+            out.append(masks)
+    return out
+
+
+def _missed(bits: int, segments: int) -> float:
+    """At most this share of the pairs with ``EXPECTED`` meets in none of so many segments.
+
+    Disjoint segments are independent.  Those of several rounds are so only for
+    a given number of differing bits.
+    """
+    if segments <= 4 * (64 // bits):
+        return (1 - sum(comb(bits, i) * EXPECTED**i * (1 - EXPECTED) ** (bits - i) for i in range(3))) ** segments
+    out = 0.0
+    for d in range(257):
+        meets = sum(comb(d, i) * comb(256 - d, bits - i) for i in range(3)) / comb(256, bits)
+        out += comb(256, d) * EXPECTED**d * (1 - EXPECTED) ** (256 - d) * (1 - meets) ** segments
+    return out
+
+
+def plan_wide(count: int) -> tuple[int, list[list[int]]]:
+    """(bits of a segment, masks over the four words of each segment used)."""
     bits = min(32, max(16, count.bit_length()))
-    meets = sum(comb(bits, i) * EXPECTED**i * (1 - EXPECTED) ** (bits - i) for i in range(3))
-    places = [(w, s * bits) for s in range(64 // bits) for w in WORDS[:3]]
-    needed = int(np.ceil(np.log(1 - RECALL) / np.log(1 - meets)))
-    return bits, places[: min(needed, len(places))]
+    needed = next(k for k in range(1, 1000) if _missed(bits, k) <= 1 - RECALL)
+    places = [masks for r in range(-(-needed // (4 * (64 // bits)))) for masks in _round(bits, r)]
+    return bits, places[:needed]
 
 
 def _distance(a: str, b: str, words: tuple[str, ...] = WORDS) -> F.Column:
@@ -92,26 +132,31 @@ def _distance(a: str, b: str, words: tuple[str, ...] = WORDS) -> F.Column:
     return out
 
 
-def _under(fps: DataFrame, bits: int, places: list[tuple[str, int]], masks: list[int], *more: str) -> DataFrame:
+def _under(fps: DataFrame, places: list[list[int]], radius: int, *more: str) -> DataFrame:
     """One row for each segment value under which a fingerprint is put: s, v, id, more."""
     each = []
-    for i, (word, shift) in enumerate(places):
-        value = F.shiftrightunsigned(F.col(word), shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-        each += [F.struct(F.lit(i).cast("tinyint").alias("s"), value.bitwiseXOR(F.lit(m if m < 1 << 31 else m - (1 << 32)).cast("int")).alias("v")) for m in masks]
-    return fps.select("id", *more, F.explode(F.array(*each)).alias("k")).select("k.s", "k.v", "id", *more)
+    for i, masks in enumerate(places):
+        value = F.lit(0).cast("long")
+        for word, m in zip(WORDS, masks, strict=True):
+            if m:
+                value = value.bitwiseOR(F.col(word).bitwiseAND(F.lit(_signed(m)).cast("long")))
+        at = [b for b in range(64) if sum(masks) >> b & 1]
+        flips = F.array(*[F.lit(_signed(sum(1 << at[j] for j in range(len(at)) if x >> j & 1))).cast("long") for x in ball(len(at), radius)])
+        each.append(_flipped(flips, value, F.lit(i).cast("short").alias("s")))
+    return fps.select("id", *more, F.explode(F.concat(*each)).alias("k")).select("k.s", "k.v", "id", *more)
 
 
 def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) links among distinct fingerprints (id, f0..f3)."""
-    bits, places = plan_wide(fps.count())
-    alone = _under(fps, bits, places, [0], *WORDS)
+    places = plan_wide(fps.count())[1]
+    alone = _under(fps, places, 0, *WORDS)
     low = alone.groupBy("s", "v").agg(F.min(F.struct("id", *WORDS)).alias("low"), F.count("*").alias("n")).filter("n > 1")
     star = alone.alias("x").join(low.alias("y"), ["s", "v"]).select("x.id", F.struct(*[f"x.{w}" for w in WORDS]).alias("x"), "low")
     star = star.filter((F.col("id") != F.col("low.id")) & (_distance("x", "low") <= MAX_BITS))
     star = scratch.write(star.select(F.col("id").alias("a"), F.col("low.id").alias("b")).distinct(), "star")
     labels = component_labels(fps.sparkSession, star, scratch=scratch)
     known = scratch.write(fps.join(labels, "id", "left").select("id", *WORDS, F.coalesce("comp", "id").alias("c")), "known")
-    under = _under(known, bits, places, ball(bits, 1), "c", "f3")
+    under = _under(known, places, 1, "c", "f3")
     met = under.alias("x").join(under.alias("y"), ["s", "v"])
     met = met.filter((F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (_distance("x", "y", ("f3",)) <= MAX_CHECK_BITS))
     met = scratch.write(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "met").distinct()

@@ -159,6 +159,32 @@ def test_wide_simhash_finds_resemblance_08(spark, odd_docs, no_docs):
     assert simhash_wide.keep_first(no_docs).count() == 0
 
 
+def test_wide_plan_meets_at_every_count():
+    rng = np.random.default_rng(11)
+    differ = rng.random((20_000, 256)) < simhash_wide.EXPECTED
+    for count in (1, 50_000, 1 << 21, 2_200_000, 6_000_000, 70_000_000, 10**9):
+        bits, places = simhash_wide.plan_wide(count)
+        own = np.array([[m >> b & 1 for m in masks for b in range(64)] for masks in places])
+        assert (own.sum(axis=1) == bits).all() and all(sum(m).bit_count() == bits for m in places)
+        met = (differ.astype(np.float32) @ own.T.astype(np.float32) <= 2).any(axis=1)
+        assert met.mean() >= simhash_wide.RECALL - 0.01, count
+
+
+def test_wide_links_by_the_plan_of_many(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(12)
+    plan = simhash_wide.plan_wide(10**9)
+    monkeypatch.setattr(simhash_wide, "plan_wide", lambda count: plan)
+    bits = rng.random((300, 256)) < 0.5
+    bits = np.concatenate([bits, bits ^ (rng.random((300, 256)) < simhash_wide.EXPECTED)])
+    fps = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    frame = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(fps)], "id long, f0 long, f1 long, f2 long, f3 long")
+    got = {(min(r), max(r)) for r in simhash_wide.wide_links(frame, Scratch(spark, "many")).collect()}
+    masks = np.array([[m >> b & 1 for m in place for b in range(64)] for place in plan[1]])
+    differ = bits[:300] ^ bits[300:]
+    want = (differ.astype(int) @ masks.T <= 2).any(axis=1) & (differ.sum(axis=1) <= simhash_wide.MAX_BITS) & (differ[:, 192:].sum(axis=1) <= simhash_wide.MAX_CHECK_BITS)
+    assert got == {(i, i + 300) for i in np.flatnonzero(want).tolist()} and len(got) > 240
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 ODD = [(1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [1.0, float("nan")], 1), (5, [1.0, None], 1), (6, [1.0, float("inf")], 1), (7, [1.0, 2.0], None), (None, [1.0, 2.0], 1), (8, [1.0, 2.0], 1), (9, [1.0, 2.0], 1), (9, [1.0, 2.0], 1), (10, [2.0, 4.0], 1), (11, [1.0, 2.0, 0.0], 1), (50, [1.0, -3.0], 2)]
 
