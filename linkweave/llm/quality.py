@@ -1,19 +1,21 @@
 """Quality by the perplexity of an n-gram model of trusted text.
 
 An interpolated modified Kneser-Ney trigram model is trained for each language
-on documents labelled as good.  Its units are the words that make up at least
-``FREQUENT`` of a language's words (counted over all documents; at most
-1 / FREQUENT of them), and for other words a class by case, characters and
-length, or by repeating the word before.  The median and a high quantile of the
-language's trusted documents that were not trained on give the threshold: it
-lies somewhat beyond the quantile, so that clean documents stay, and one odd
-document among few doesn't move it.
-
-Counts, contexts and discounts are aggregations.  Texts are coded in blocks of
-bounded size, each with its distinct trigrams; the distinct trigrams of all
-blocks meet the count tables in hash joins (the shards), get their
-probabilities once, and return to the blocks.  What is joined is never a row
-for each position.
+on documents labelled as good.  Its units are the words that occur at least
+``LEAST_COUNT`` times in a language's training text, so that vocabulary and
+trigrams grow with it; a word's code is its hash (of about 2^21).  For other
+words a class by case, characters and length, or by repeating the word before,
+stands in.  The median and a high quantile of the language's trusted documents
+that were not trained on give the threshold: it lies somewhat beyond the
+quantile, so that clean documents stay, and one odd document among few doesn't
+move it.
+
+Texts are coded in blocks of bounded size.  The trigrams of training blocks and
+the distinct trigrams of all blocks are dealt into shards by their middle word,
+as sorted and packed arrays: all counts and contexts that a trigram's
+probability needs are in its shard, but for the counts of single words.  Each
+shard answers each block with one array of log probabilities, rounded to
+``STEP``.
 
 Defined cases: a null text is empty; an empty text is scored by its end alone;
 a null language is a language of its own; documents of a language without
@@ -30,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,18 +40,19 @@ from pyspark.sql import functions as F
 from linkweave.llm.common import table
 from linkweave.plans.scratch import Scratch
 
-FREQUENT = 0.001
+#: Occurrences in a language's training text from which a word is a unit of its own.
+LEAST_COUNT = 2
 #: Of the trusted documents one in so many sets the threshold instead of training.
 HOLD = 5
 QUANTILE = 0.98
 #: The threshold lies this many times as far above the median (of log perplexity) as the quantile does.
 BEYOND = 2.5
-#: Tokens in a block, and words counted by a task before it reports them.
+#: Tokens in a block, words that a task knows at once, and tokens of a language for each of its shards.
 BLOCK = 2_000_000
-COUNTED = 300_000
 KNOWN = 300_000
-#: Up to so many languages, tables of one row for each are broadcast.
-FEW_LANGUAGES = 10_000
+SHARD = 4_000_000
+#: Log probabilities are handed over as whole multiples of this.
+STEP = 0.001
 
 #: Discounts are at least this, so that even small tables leave something for unseen trigrams.
 LEAST_DISCOUNT = 0.1
@@ -56,6 +60,7 @@ LEAST_DISCOUNT = 0.1
 START, END, REPEAT = 0, 1, 2
 CLASSES = 3 + 4 * 3 * 6
 BITS = 21
+NONE = np.empty(0, dtype=np.int32)
 
 
 def word_class(word: str) -> int:
@@ -65,104 +70,66 @@ def word_class(word: str) -> int:
     return 3 + (case * 3 + form) * 6 + min(len(word), 20) // 4
 
 
-def _count_words(frequent: float, asked: dict[str, set[str]] | None = None):
-    """Counts (lang, word, n) of a task's words and, as the word '', of all its words.
+def word_code(word: str) -> int:
+    import xxhash
 
-    Without ``asked``, only words that make up ``frequent`` of a stretch of the
-    task are reported; a word that is frequent in the whole is so in some
-    stretch.  With it, the counts of those words are reported.
-    """
+    return CLASSES + xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % ((1 << BITS) - CLASSES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, c in counts.items():
-                least = frequent * c.total()
-                if asked is None:
-                    found = {w: n for w, n in c.items() if n >= least}
-                else:
-                    found = {w: c[w] for w in asked.get(lang, ()) if w in c}
-                found[""] = c.total()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
-            counts.clear()
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    counts.setdefault(lang, Counter()).update(text.split())
-                if sum(map(len, counts.values())) > COUNTED:
-                    yield from flush()
-        yield from flush()
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), 1)
 
-    return run
 
+def unpack(x: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(x), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, len(raw) // np.dtype(kind).itemsize).T).view(kind).ravel()
 
-def vocabulary_of(rows: DataFrame, frequent: float) -> dict[str, dict[str, int]]:
-    """Codes of each language's frequent words, at most 1 / frequent of them.
 
-    Two passes over the texts: candidates, then their counts.  Both hand over a
-    few rows for each stretch instead of all words.
-    """
-    schema = "lang string, word string, n long"
-    candidates: dict[str, set[str]] = {}
-    for lang, word in rows.mapInArrow(_count_words(frequent), schema).select("lang", "word").distinct().collect():
-        candidates.setdefault(lang, set()).add(word)
-    counted = rows.mapInArrow(_count_words(frequent, candidates), schema).groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
-    total = {lang: n for lang, word, n in counted if not word}
-    out: dict[str, dict[str, int]] = {lang: {} for lang in total}
-    for lang, word, n in sorted(map(tuple, counted)):
-        if word and n >= frequent * total[lang]:
-            out[lang][word] = CLASSES + len(out[lang])
-    return out
-
-
-def _coding(vocabulary: dict[str, dict[str, int]]):
-    """Blocks of coded documents of one language with their distinct trigrams."""
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted trigrams by their differences."""
+    return pack(np.diff(keys, prepend=0))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, number = TaskContext.get().partitionId(), 0
-        held: dict[str, list] = {}
-        known: dict[str, dict[str, int]] = {}
-
-        def coded(lang: str, text: str) -> np.ndarray:
-            if sum(map(len, known.values())) > KNOWN:
-                known.clear()
-            own = known.setdefault(lang, dict(vocabulary.get(lang, {})))
-            words = text.split()
-            for w in set(words):
-                if w not in own:
-                    own[w] = word_class(w)
-            ids = np.fromiter(map(own.__getitem__, words), dtype=np.uint16, count=len(words))
-            again = np.flatnonzero((ids[1:] == ids[:-1]) & (ids[1:] < CLASSES)) + 1
-            again = [i for i in again.tolist() if words[i] == words[i - 1]]
-            ids[again] = REPEAT
-            return ids
-
-        def block(lang: str) -> pa.RecordBatch:
-            nonlocal number
-            ids, docs = zip(*held[lang], strict=True)
-            number += 1
-            keys = np.unique(np.concatenate([trigrams(x) for x in docs]))
-            one = lambda x, t: pa.array([x], t)
-            return pa.RecordBatch.from_arrays([one((pid << 32) + number, pa.int64()), one(lang, pa.string()), one(list(ids), pa.list_(pa.int64())), one([len(x) for x in docs], pa.list_(pa.int32())), one(zlib.compress(np.concatenate(docs).tobytes(), 1), pa.binary()), one(keys.tolist(), pa.list_(pa.int64()))], names=["block", "lang", "ids", "sizes", "codes", "keys"])
-
-        sizes: Counter = Counter()
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for doc, lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    ids = coded(lang, text)
-                    held.setdefault(lang, []).append((doc, ids))
-                    sizes[lang] += len(ids)
-                    if sizes[lang] >= BLOCK:
-                        yield block(lang)
-                        del held[lang], sizes[lang]
-        for lang in list(held):
-            yield block(lang)
 
-    return run
+def unpack_keys(x: bytes) -> np.ndarray:
+    return np.cumsum(unpack(x, np.int64))
+
+
+def _coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents of one language: places of their words in the block's own list of (code, class)."""
+    pid, number = TaskContext.get().partitionId(), 0
+    held: dict[str, list] = {}
+    known: dict[str, tuple[int, int]] = {}
+    lists: dict[str, dict[str, int]] = {}
+    sizes: Counter = Counter()
+
+    def block(lang: str) -> pa.RecordBatch:
+        nonlocal number
+        ids, docs = zip(*held.pop(lang), strict=True)
+        words = lists.pop(lang)
+        number += 1
+        del sizes[lang]
+        for w in words:
+            if w not in known:
+                if len(known) > KNOWN:
+                    known.clear()
+                known[w] = word_code(w), word_class(w)
+        own = np.array([known.get(w) or (word_code(w), word_class(w)) for w in words], dtype=np.int32).reshape(-1, 2)
+        one = lambda x, t: pa.array([x], t)
+        return pa.RecordBatch.from_arrays([one((pid << 32) + number, pa.int64()), one(lang, pa.string()), one(list(ids), pa.list_(pa.int64())), one([len(x) for x in docs], pa.list_(pa.int32())), one(pack(np.concatenate(docs)), pa.binary()), one(pack(own.ravel()), pa.binary())], names=["block", "lang", "ids", "sizes", "codes", "words"])
+
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            for doc, lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                at = lists.setdefault(lang, {})
+                found = text.split()
+                held.setdefault(lang, []).append((doc, np.fromiter((at.setdefault(w, len(at)) for w in found), dtype=np.int32, count=len(found))))
+                sizes[lang] += len(found)
+                if sizes[lang] >= BLOCK:
+                    yield block(lang)
+    for lang in list(held):
+        yield block(lang)
 
 
 def trigrams(ids: np.ndarray) -> np.ndarray:
@@ -172,36 +139,151 @@ def trigrams(ids: np.ndarray) -> np.ndarray:
     return (x[:-2] << 2 * BITS) | (x[1:-1] << BITS) | x[2:]
 
 
-def _documents(sizes: pa.Scalar, codes: pa.Scalar) -> tuple[np.ndarray, list[np.ndarray]]:
+def _documents(sizes: pa.Scalar, codes: pa.Scalar, words: pa.Scalar, vocabulary: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sizes and codes of a block's documents; words outside the vocabulary get their class."""
     n = np.array(sizes.values, dtype=np.int64)
-    return n, np.split(np.frombuffer(zlib.decompress(codes.as_buffer()), dtype=np.uint16), np.cumsum(n)[:-1])
+    at, own = unpack(codes.as_py(), np.int32), unpack(words.as_py(), np.int32).reshape(-1, 2)
+    ids = np.where(np.isin(own[:, 0], vocabulary), own[:, 0], own[:, 1])[at]
+    first = np.zeros(len(ids) + 1, dtype=bool)
+    first[np.concatenate([[0], np.cumsum(n)])] = True
+    again = np.zeros(len(ids), dtype=bool)
+    again[1:] = (at[1:] == at[:-1]) & (ids[1:] < CLASSES) & ~first[1:-1]
+    ids[again] = REPEAT
+    return n, np.split(ids, np.cumsum(n)[:-1])
+
 
+def _good(ids: pa.Scalar, good: pa.Scalar) -> np.ndarray:
+    return np.isin(np.array([x if x is not None else -1 for x in ids.as_py()], dtype=np.int64), np.array(good.as_py(), dtype=np.int64)) & np.array([x is not None for x in ids.as_py()])
 
-def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Trigram counts of a block's trusted documents."""
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the word codes of a block's training documents."""
     for batch in batches:
-        for lang, ids, sizes, codes, good in zip(*batch.columns, strict=True):
-            wanted = np.isin(np.array([x if x is not None else -1 for x in ids.as_py()], dtype=np.int64), np.array(good.values, dtype=np.int64))
-            docs = [d for d, w in zip(_documents(sizes, codes)[1], wanted, strict=True) if w]
-            if docs:
+        for lang, ids, sizes, codes, words, good in zip(*batch.columns, strict=True):
+            wanted = np.repeat(_good(ids, good), np.array(sizes.values, dtype=np.int64))
+            own = unpack(words.as_py(), np.int32).reshape(-1, 2)[:, 0]
+            found, n = np.unique(own[unpack(codes.as_py(), np.int32)[wanted]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found)), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shard of each trigram, by its middle word."""
+    b = (keys >> BITS) & ((1 << BITS) - 1)
+    return ((b * 0x9E3779B1) >> 7) % shards
+
+
+def _dealt(vocabulary: dict[str, np.ndarray], shards: dict[str, int], train: bool):
+    """Rows (lang, shard, block, keys, n) of a block's distinct trigrams; for training with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, lang, ids, sizes, codes, words, *good in zip(*batch.columns, strict=True):
+                own, k = lang.as_py(), shards[lang.as_py()]
+                docs = _documents(sizes, codes, words, vocabulary.get(own, NONE))[1]
+                if train:
+                    docs = [d for d, w in zip(docs, _good(ids, good[0]), strict=True) if w]
+                if not docs:
+                    continue
                 keys, n = np.unique(np.concatenate([trigrams(d) for d in docs]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(keys)), pa.array(keys), pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
+                of = shard_of(keys, k)
+                for i in np.unique(of).tolist():
+                    here = of == i
+                    row = [own, i, block.as_py(), pack_keys(keys[here]), pack(n[here].astype(np.int64)) if train else None]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["lang", "shard", "block", "keys", "n"])
 
+    return run
+
+
+def _summed(group: pa.Table) -> pa.Table:
+    """A shard's counts, how many trigrams and bigrams occur 1 to 4 times, and its bigrams by last word."""
+    keys = np.concatenate([unpack_keys(x.as_py()) for x in group["keys"]])
+    n = np.concatenate([unpack(x.as_py(), np.int64) for x in group["n"]])
+    keys, at = np.unique(keys, return_inverse=True)
+    n = np.bincount(at, weights=n).astype(np.int64)
+    pairs, n2 = np.unique(keys & ((1 << 2 * BITS) - 1), return_counts=True)
+    last, n1 = np.unique(pairs & ((1 << BITS) - 1), return_counts=True)
+    few = [int((x == i).sum()) for x in (n, n2) for i in (1, 2, 3, 4)]
+    row = [group["lang"][0].as_py(), group["shard"][0].as_py(), -1, pack_keys(keys), pack(n), few, last.tolist(), n1.tolist()]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["lang", "shard", "block", "keys", "n", "few", "last", "n1"])
+
+
+def discounts_of(few: list[int]) -> np.ndarray:
+    """Discounts of what occurs once, twice and more often, from the counts of 1 to 4 occurrences."""
+    n = [max(x, 1) for x in few]
+    y = n[0] / (n[0] + 2 * n[1])
+    return np.array([max(LEAST_DISCOUNT, min(i, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)])
 
-def _perplexities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lang, ids, sizes, codes, keys, table_ in zip(*batch.columns, strict=True):
-            keys = np.array(keys.values, dtype=np.int64)
-            logs = np.empty(len(keys))
-            logs[np.array(table_.values.field(0))] = np.array(table_.values.field(1))
-            n, docs = _documents(sizes, codes)
-            mean = [float(logs[np.searchsorted(keys, trigrams(d))].mean()) for d in docs]
-            yield pa.RecordBatch.from_arrays([ids.values, pa.array([lang.as_py()] * len(n)), pa.array(n), pa.array(np.exp(-np.array(mean)))], names=["doc_id", "lang", "n_tokens", "perplexity"])
+
+def _at(own: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the asked values in a sorted array that has some, and which are there."""
+    at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
+    return at, own[at] == asked
+
+
+def log_probabilities(keys: np.ndarray, n: np.ndarray, single: tuple[np.ndarray, np.ndarray, float], d2: np.ndarray, d3: np.ndarray):
+    """Function from asked trigrams of a shard to their log probabilities.
+
+    ``single`` has sorted word codes, their probabilities and that of any other.
+    """
+    pairs, n2 = np.unique(keys & ((1 << 2 * BITS) - 1), return_counts=True)
+    off3, off2 = d3[np.minimum(n, 3) - 1], d2[np.minimum(n2, 3) - 1]
+    ab, at3 = np.unique(keys >> BITS, return_inverse=True)
+    t3, g3 = np.bincount(at3, weights=n), np.bincount(at3, weights=off3)
+    b, at2 = np.unique(pairs >> BITS, return_inverse=True)
+    t2, g2 = np.bincount(at2, weights=n2), np.bincount(at2, weights=off2)
+    x3, x2 = (n - off3) / t3[at3], (n2 - off2) / t2[at2]
+
+    def asked(q: np.ndarray) -> np.ndarray:
+        at, there = _at(single[0], q & ((1 << BITS) - 1))
+        p = np.where(there, single[1][at], single[2])
+        for own, x, contexts, rest, pair in ((pairs, x2, b, g2 / t2, q & ((1 << 2 * BITS) - 1)), (keys, x3, ab, g3 / t3, q)):
+            at, there = _at(contexts, pair >> BITS)
+            p = p * np.where(there, rest[at], 1.0)
+            at, there = _at(own, pair)
+            p += np.where(there, x[at], 0.0)
+        return np.log(p)
+
+    return asked
+
+
+def _answers(single: dict, discounts: dict):
+    """Rows (block, shard, logs) of a shard, one for each block that asks."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lang, shard = group["lang"][0].as_py(), group["shard"][0].as_py()
+        model = group.filter(pa.compute.equal(group["block"], -1))
+        if model.num_rows:
+            keys, n = unpack_keys(model["keys"][0].as_py()), unpack(model["n"][0].as_py(), np.int64)
+        else:  # a shard without training text: no context is known
+            keys, n = np.array([-1], dtype=np.int64), np.array([1], dtype=np.int64)
+        of = log_probabilities(keys, n, single[lang], *discounts[lang])
+        rows = [(x.as_py(), pack(np.rint(of(unpack_keys(k.as_py())) / STEP).astype(np.int32))) for x, k in zip(group["block"], group["keys"], strict=True) if x.as_py() >= 0]
+        return pa.table([pa.array([x for x, _ in rows], pa.int64()), pa.array([shard] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "shard", "logs"])
+
+    return run
+
+
+def _perplexities(vocabulary: dict[str, np.ndarray], shards: dict[str, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, ids, sizes, codes, words, answers in zip(*batch.columns, strict=True):
+                own = lang.as_py()
+                n, docs = _documents(sizes, codes, words, vocabulary.get(own, NONE))
+                keys = np.unique(np.concatenate([trigrams(d) for d in docs]))
+                logs = np.empty(len(keys))
+                each = sorted((x["shard"], x["logs"]) for x in answers.as_py())
+                logs[np.argsort(shard_of(keys, shards[own]), kind="stable")] = np.concatenate([unpack(x, np.int32) for _, x in each]) * STEP
+                mean = [float(logs[np.searchsorted(keys, trigrams(d))].mean()) for d in docs]
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array([own] * len(n)), pa.array(n), pa.array(np.exp(-np.array(mean)))], names=["doc_id", "lang", "n_tokens", "perplexity"])
+
+    return run
 
 
 def kneser_ney(counts: DataFrame, asked: DataFrame, few_languages: bool = False) -> DataFrame:
     """(lang, key, logp) for the asked (lang, key) from trigram counts (lang, key, n).
 
+    The joins that define what the shards compute; the tests compare both.
     With ``few_languages``, tables of one row for each language are broadcast.
     """
     small = F.broadcast if few_languages else lambda df: df
@@ -234,23 +316,53 @@ def kneser_ney(counts: DataFrame, asked: DataFrame, few_languages: bool = False)
     return q.select("lang", "key", F.log(p3).alias("logp"))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, frequent: float = FREQUENT) -> DataFrame:
+def _by_language(rows: DataFrame) -> Iterator[tuple]:
+    """Of rows with a language first: each language with arrays of its other columns."""
+    found = rows.toArrow()
+    lang = found["lang"].combine_chunks().dictionary_encode()
+    of, rest = np.array(lang.indices), [np.array(c) for c in found.columns[1:]]
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        yield name, *(x[of == i] for x in rest)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST_COUNT) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold and kept of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    vocabulary = vocabulary_of(rows.select("lang", "text"), frequent)
-    blocks = scratch.write(rows.mapInArrow(_coding(vocabulary), "block long, lang string, ids array<long>, sizes array<int>, codes binary, keys array<long>"), "blocks")
+    blocks = scratch.write(rows.mapInArrow(_coding, "block long, lang string, ids array<long>, sizes array<int>, codes binary, words binary"), "blocks")
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).dropna().groupBy("doc_id").agg(F.max("q").alias("q")).filter("q > 0")
     good = good.withColumn("hold", F.pmod(F.xxhash64("doc_id"), F.lit(HOLD)) == 0)
     members = blocks.select("block", F.explode("ids").alias("doc_id")).join(good.filter("NOT hold"), "doc_id").groupBy("block").agg(F.collect_set("doc_id").alias("good"))
-    counts = blocks.join(members, "block").select("lang", "ids", "sizes", "codes", "good").mapInArrow(_trained, "lang string, key long, n long")
-    counts = scratch.write(counts.groupBy("lang", "key").agg(F.sum("n").alias("n")), "counts")
-    each = blocks.select("block", "lang", F.posexplode("keys").alias("at", "key"))
-    logs = scratch.write(kneser_ney(counts, each.select("lang", "key").distinct(), len(vocabulary) <= FEW_LANGUAGES), "logs")
-    tables = each.join(logs, ["lang", "key"]).select("block", F.struct("at", F.col("logp").cast("float")).alias("x")).groupBy("block").agg(F.collect_list("x").alias("logs"))
-    scored = blocks.join(tables, "block").select("lang", "ids", "sizes", "codes", "keys", "logs").mapInArrow(_perplexities, "doc_id long, lang string, n_tokens long, perplexity double")
-    unscored = blocks.join(counts.select("lang").distinct(), "lang", "left_anti").select(F.explode(F.arrays_zip("ids", "sizes")).alias("z"), "lang")
+    members = scratch.write(members, "members")
+    trained = blocks.join(members, "block")
+    counted = trained.select("lang", "ids", "sizes", "codes", "words", "good").mapInArrow(_word_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    vocabulary = {lang: np.sort(code).astype(np.int32) for lang, code in _by_language(counted.select("lang", "code"))}
+    tokens = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    shards = {lang: max(1, -(-n // SHARD)) for lang, n in blocks.groupBy("lang").agg(F.sum(tokens)).collect()}
+
+    packed = "lang string, shard int, block long, keys binary, n binary"
+    counts = trained.select("block", "lang", "ids", "sizes", "codes", "words", "good").mapInArrow(_dealt(vocabulary, shards, True), packed)
+    model = scratch.write(counts.groupBy("lang", "shard").applyInArrow(_summed, f"{packed}, few array<long>, last array<long>, n1 array<long>"), "model")
+    few: dict[str, np.ndarray] = {}
+    for lang, x in model.select("lang", "few").collect():
+        few[lang] = few.get(lang, 0) + np.array(x)
+    last = model.select("lang", F.explode(F.arrays_zip("last", "n1")).alias("z")).groupBy("lang", F.col("z.last").cast("int").alias("c")).agg(F.sum("z.n1").alias("n"))
+    single, discounts = {}, {}
+    for lang, c, n in _by_language(last):
+        c, n = c[np.argsort(c)], n[np.argsort(c)]
+        off = discounts_of([int((n == i).sum()) for i in (1, 2, 3, 4)])[np.minimum(n, 3) - 1]
+        other = max(float(off.sum()), 0.5) / n.sum() / (len(n) + 1)
+        single[lang] = c, (n - off) / n.sum() + other, float(other)
+        discounts[lang] = discounts_of(few[lang][4:]), discounts_of(few[lang][:4])
+
+    langs = model.select("lang").distinct()
+    scorable = blocks.join(F.broadcast(langs), "lang")
+    asked = scorable.select("block", "lang", "ids", "sizes", "codes", "words").mapInArrow(_dealt(vocabulary, shards, False), packed)
+    answers = asked.union(model.select("lang", "shard", "block", "keys", "n")).groupBy("lang", "shard").applyInArrow(_answers(single, discounts), "block long, shard int, logs binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "logs")).alias("answers"))
+    scored = scorable.join(answers, "block").select("lang", "ids", "sizes", "codes", "words", "answers").mapInArrow(_perplexities(vocabulary, shards), "doc_id long, lang string, n_tokens long, perplexity double")
+    unscored = blocks.join(langs, "lang", "left_anti").select(F.explode(F.arrays_zip("ids", "sizes")).alias("z"), "lang")
     scored = scratch.write(scored.unionByName(unscored.select(F.col("z.ids").alias("doc_id"), "lang", F.col("z.sizes").cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"))), "scored")
     limits = scored.join(good.filter("hold"), "doc_id").groupBy("lang").agg(F.percentile_approx("perplexity", [0.5, quantile], 100_000).alias("q"))
     middle, high = F.element_at("q", 1), F.element_at("q", 2)

@@ -128,6 +128,39 @@ def test_kneser_ney(spark):
         assert r["logp"] == pytest.approx(want[r["key"]], abs=1e-9)
 
 
+def test_shards_match_the_joins():
+    rng = np.random.default_rng(13)
+    docs = [rng.integers(3, 9, rng.integers(0, 30)).tolist() for _ in range(40)]
+    asked = sorted({tuple(rng.integers(3, 10, 3).tolist()) for _ in range(60)} | {(0, 0, 1), (0, 0, 4), (0, 5, 1)})
+    packed = lambda gs: np.array([(a << 42) | (b << 21) | c for a, b, c in gs], dtype=np.int64)
+    keys, n = np.unique(np.concatenate([quality.trigrams(np.array(d, dtype=np.int32)) for d in docs]), return_counts=True)
+    few = lambda x: [int((x == i).sum()) for i in (1, 2, 3, 4)]
+    pairs, n2 = np.unique(keys & ((1 << 42) - 1), return_counts=True)
+    c, n1 = np.unique(pairs & ((1 << 21) - 1), return_counts=True)
+    off = quality.discounts_of(few(n1))[np.minimum(n1, 3) - 1]
+    other = max(off.sum(), 0.5) / n1.sum() / (len(n1) + 1)
+    single = c, (n1 - off) / n1.sum() + other, other
+    want = brute_kneser_ney(docs, asked)
+    for shards in (1, 3):
+        for i in range(shards):
+            own, q = quality.shard_of(keys, shards) == i, packed(asked)
+            q = q[quality.shard_of(q, shards) == i]
+            if own.any() and len(q):
+                got = quality.log_probabilities(keys[own], n[own], single, quality.discounts_of(few(n2)), quality.discounts_of(few(n)))(q)
+                assert got == pytest.approx([want[g] for g in asked if packed([g])[0] in q], abs=1e-9)
+
+
+def test_quality_rejects_unknown_words_of_ordinary_shape(spark):
+    rng = np.random.default_rng(14)
+    make = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    common, phrases = ["the", "of", "and", "to", "in"], [[make() for _ in range(4)] for _ in range(400)]
+    text = lambda other: " ".join(w for _ in range(30) for w in (common[rng.integers(5)], *other()))
+    docs = [(i, text(lambda: phrases[rng.integers(400)]), "en") for i in range(260)] + [(1000 + i, text(lambda: [make() for _ in range(4)]), "en") for i in range(20)]
+    rows = quality.score_quality(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")).collect()
+    kept = {r["doc_id"] for r in rows if r["kept"]}
+    assert len(rows) == 280 and not [i for i in kept if i >= 1000] and len(kept) >= 255
+
+
 def test_quality_rejects_junk(spark):
     rng = np.random.default_rng(2)
     common = ["the", "of", "and", "to", "in"]
