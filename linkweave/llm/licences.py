@@ -11,8 +11,10 @@ summed, and turned into probabilities; a prediction counts if the family's
 probability reaches ``CONFIDENCE`` and one of the family's templates is
 contained in the paragraph.
 
-Defined cases: a null or empty text has no licence; a paragraph is a line;
-every input row gives one row, rows with equal id and text give equal ones;
+Defined cases: a null or empty text has no licence; a paragraph is a single
+line, or a run of lines between lines without letters and digits, which is named
+by its first line and counts where no line of it gives the same family; every
+input row gives one row, rows with equal id and text give equal ones;
 further columns are ignored; ties between families go to the first by name.
 """
 
@@ -154,9 +156,9 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     forms = [(f, i, ngrams_of(t)) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
     templates = F.broadcast(spark.createDataFrame([(f, i, len(gs), g) for f, i, gs in forms for g in gs], "family string, form int, form_size int, gram string"))
     base = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    lines = base.filter(_any(F.col("text"))).select("doc_id", "hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "paragraph")).filter(_any(F.col("paragraph")))
-    grams = lines.distinct().select("doc_id", "hash", "line", F.explode(_ngrams(F.col("paragraph"))).alias("gram"))
-    key = ["doc_id", "hash", "line"]
+    lines = base.filter(_any(F.col("text"))).select("doc_id", "hash", F.explode(_paragraphs(F.split("text", "\n", -1))).alias("p")).select("doc_id", "hash", "p.*")
+    key = ["doc_id", "hash", "line", "last"]
+    grams = lines.distinct().select(*key, F.explode(_ngrams(F.col("paragraph"))).alias("gram"))
     scores = grams.join(weights, "gram").groupBy(*key).agg(*[F.sum(F.col("w")[i]).alias(f"z{i}") for i in range(len(classes))])
     z = [F.col(f"z{i}") + F.lit(float(v)) for i, v in enumerate(b / heat)]
     top = F.greatest(*z)
@@ -166,11 +168,34 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     held = grams.join(templates, "gram").groupBy(*key, "family", "form", "form_size").agg(F.count("*").alias("n")).filter(F.col("n") >= CONTAINED * F.col("form_size"))
     held = held.groupBy(*key, "family").agg(F.max(F.col("n") / F.col("form_size")).alias("contained"))
     sure = found.alias("f").join(held.alias("h"), _same("f", "h", [*key, "family"])).select(*[F.col(f"f.{c}") for c in (*key, "family", "confidence")])
-    each = sure.groupBy("doc_id", "hash").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("family")).alias("families"), F.sort_array(F.collect_list("line")).alias("lines"), F.min("confidence").alias("confidence"))
+    each = sure.groupBy("doc_id", "hash").agg(F.collect_list(F.struct("line", "last", "family", "confidence")).alias("all"))
+    own = lambda x: F.filter("all", lambda o: (o["line"] == o["last"]) & (o["family"] == x["family"]) & o["line"].between(x["line"], x["last"]))
+    each = each.withColumn("hits", F.filter("all", lambda x: (x["line"] == x["last"]) | (F.size(own(x)) == 0)))
+    each = each.select("doc_id", "hash", F.size("hits").alias("n"), F.array_sort(F.array_distinct("hits.family")).alias("families"), F.array_sort("hits.line").alias("lines"), F.array_min("hits.confidence").alias("confidence"))
     out = base.select("doc_id", "hash").alias("f").join(each.alias("h"), _same("f", "h", ["doc_id", "hash"]), "left")
     return out.select("f.doc_id", F.coalesce("h.n", F.lit(0)).cast("long").alias("n_licences"), F.array_join("h.families", ",").alias("families"), F.array_join("h.lines", ",").alias("lines"), F.round("h.confidence", 6).alias("confidence"))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _paragraphs(text: Column) -> Column:
+    """(line, last, paragraph) of each line and each run of several lines, where a keyword is in it."""
+    row = lambda a, b, x: F.struct(a.alias("line"), b.alias("last"), x.alias("paragraph"))
+
+    def of(lines: Column, full: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(lines) - 1)
+        starts = F.filter(at, lambda i: F.get(full, i) & ~F.coalesce(F.get(full, i - 1), F.lit(False)))
+        ends = F.filter(at, lambda i: F.get(full, i) & ~F.coalesce(F.get(full, i + 1), F.lit(False)))
+        runs = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda r: r["a"] < r["b"])
+        runs = F.transform(runs, lambda r: row(r["a"], r["b"], F.array_join(F.slice(lines, r["a"] + 1, r["b"] - r["a"] + 1), " ")))
+        return F.filter(F.concat(F.transform(lines, lambda x, i: row(i, i, x)), runs), lambda p: _let(F.lower(p["paragraph"]), _any))
+
+    return _let(text, lambda lines: _let(F.transform(lines, lambda x: F.lower(x).rlike("[a-z0-9]")), lambda full: of(lines, full)))
+
+
 def _any(text: Column) -> Column:
     low = F.lower(text)
     out = F.contains(low, F.lit(KEYWORDS[0]))

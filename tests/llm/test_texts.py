@@ -47,6 +47,20 @@ def test_licences(odd_docs, no_docs, spark):
     assert right >= 0.9 * len(held)
 
 
+def test_licences_wrapped_over_lines(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted."
+    commented = "int a;\n//\n" + "\n".join(f"// {x}" for x in gpl.split("\n")) + "\n//\nint b;"
+    both = "Released under the MIT License.\nSome other line.\n\n" + isc
+    plain = "She was granted permission to use\nthe car for any purpose.\n\nHe copied the licence\nof the driver."
+    texts = [gpl, bsd, isc, commented, both, plain]
+    rows = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["n_licences"], r["families"], r["lines"]) for r in rows}
+    assert [got[i] for i in range(5)] == [(1, "gpl", "0"), (1, "bsd", "0"), (1, "isc", "0"), (1, "gpl", "2"), (2, "isc,mit", "0,3")]
+    assert got[5][0] == 0
+
+
 def test_licence_ngrams_agree(spark):
     text = "Licensed under the MIT-License, v2.0 été."
     got = spark.createDataFrame([(text,)], "t string").select(licences._ngrams(licences.F.col("t"))).first()[0]
