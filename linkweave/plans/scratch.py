@@ -18,10 +18,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only in local mode where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="linkweave-")
@@ -35,6 +37,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[str] = []
         atexit.register(self.clear)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
@@ -46,6 +49,17 @@ class Scratch:
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
+    def write_bucketed(self, df: DataFrame, key: str, name: str = "t") -> DataFrame:
+        """Write ``df`` in buckets of a column, so that joins on it don't move these rows again."""
+        self.count += 1
+        path, own = f"{self.root}/{self.count:03d}-{name}", f"{name}_{uuid.uuid4().hex}"
+        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(own)
+        self.tables.append(own)
+        out = self.spark.table(own)
+        out._scratch_path = path  # type: ignore[attr-defined]
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing will read any more."""
         path = getattr(df, "_scratch_path", None)
@@ -53,6 +67,10 @@ class Scratch:
             self._delete(path)
 
     def clear(self) -> None:
+        with contextlib.suppress(Exception):  # the session may have ended already
+            for own in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {own}")
+        self.tables = []
         self._delete(self.root)
 
     def _delete(self, path: str) -> None:
