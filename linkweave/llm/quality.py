@@ -3,31 +3,43 @@
 An interpolated modified Kneser-Ney trigram model is trained for each language
 on documents labelled as good.  Its units are the words that occur at least
 ``LEAST_COUNT`` times in a language's training text, so that vocabulary and
-trigrams grow with it; a word's code is its hash (of about 2^21).  For other
-words a class by case, characters and length, or by repeating the word before,
-stands in.  The median and a high quantile of the language's trusted documents
-that were not trained on give the threshold: it lies somewhat beyond the
-quantile, so that clean documents stay, and one odd document among few doesn't
-move it.
-
-Texts are coded in blocks of bounded size.  The trigrams of training blocks and
-the distinct trigrams of all blocks are dealt into shards by their middle word,
-as sorted and packed arrays: all counts and contexts that a trigram's
-probability needs are in its shard, but for the counts of single words.  Each
-shard answers each block with one array of log probabilities, rounded to
-``STEP``.
+trigrams grow with it.  For other words a class by case, characters and length,
+or by repeating the word before, stands in.
+
+1. The words of the training documents are counted (by hash codes of at most
+   ``CODES`` values over all languages together, which bounds what is sent to
+   the driver and the tasks); a word's number is its rank.
+2. All texts become numbers, in blocks of at most ``BLOCK`` tokens of one
+   language.  Blocks are bucketed by their own number, so that answers come back
+   to them without moving them.
+3. The distinct trigrams of a block are dealt into shards by their middle word,
+   as sorted and packed arrays; a middle word with more than ``SHARD`` tokens is
+   dealt into several by the word before, and its bigram counts, at most one for
+   each word of the vocabulary, are summed up and given to each of them.  So all
+   counts that a trigram's probability needs are in its shard, but for the
+   counts of single words.
+4. Each shard answers each block with one array of log probabilities, rounded to
+   ``STEP``; a document's mean gives its perplexity.
+
+Of the trusted documents one in ``HOLD`` is kept out of training.  A language's
+limit is the ``QUANTILE`` of their log perplexities, each one drawn towards the
+language's median as if it had ``PRIOR`` further tokens with that value, so that
+a text of few words has to be stranger to be rejected.  A language with fewer
+than ``LEAST_HELD`` such documents takes the deviations from the median of all
+languages' documents together.
 
 Defined cases: a null text is empty; an empty text is scored by its end alone;
-a null language is a language of its own; documents of a language without
-enough trusted text have no perplexity and are kept; every input row gives one
-row, repeated rows equal ones; several labels of one id count as their highest;
-labels and ids that are null don't count.
+texts of any length are scored whole; a null language is a language of its own,
+the one with an empty name; documents of a language without trusted text have
+no perplexity and are kept; every input row gives one row, repeated rows equal
+ones; several labels of one id count as their highest; labels and ids that are
+null don't count; words of equal count are ranked by code; a document exactly
+at the threshold is kept; empty tables give no rows; further columns, whatever
+their names, are ignored (``keep_good`` returns them).
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,15 +56,24 @@ from linkweave.plans.scratch import Scratch
 LEAST_COUNT = 2
 #: Of the trusted documents one in so many sets the threshold instead of training.
 HOLD = 5
-QUANTILE = 0.98
-#: The threshold lies this many times as far above the median (of log perplexity) as the quantile does.
-BEYOND = 2.5
-#: Tokens in a block, words that a task knows at once, and tokens of a language for each of its shards.
+QUANTILE = 0.995
+#: Tokens with a language's median that are added to each document, and held out documents that a language needs for a quantile of its own.
+PRIOR = 20
+LEAST_HELD = 200
+#: Tokens in a block, distinct words that a task counts at once, and tokens of a language for each of its shards.
 BLOCK = 2_000_000
-KNOWN = 300_000
+WORDS = 400_000
 SHARD = 4_000_000
 #: Log probabilities are handed over as whole multiples of this.
-STEP = 0.001
+STEP = 1 / 64
+#: Codes of all languages together: 12 bytes each.
+CODES = 1 << 23
+#: Trusted ids up to which they are sent to the tasks (8 bytes each); more are joined.
+FEW_TRUSTED = 4_000_000
+#: Languages up to which a table with one row for each is broadcast.
+FEW_LANGUAGES = 10_000
+#: Codes with this share of a block's tokens are reported, so that shards of frequent words can be split.
+FREQUENT = 1 / 256
 
 #: Discounts are at least this, so that even small tables leave something for unseen trigrams.
 LEAST_DISCOUNT = 0.1
@@ -60,7 +81,7 @@ LEAST_DISCOUNT = 0.1
 START, END, REPEAT = 0, 1, 2
 CLASSES = 3 + 4 * 3 * 6
 BITS = 21
-NONE = np.empty(0, dtype=np.int32)
+MASK = (1 << BITS) - 1
 
 
 def word_class(word: str) -> int:
@@ -70,142 +91,310 @@ def word_class(word: str) -> int:
     return 3 + (case * 3 + form) * 6 + min(len(word), 20) // 4
 
 
-def word_code(word: str) -> int:
+def codes_of(words: list[str], codes: int) -> np.ndarray:
+    """Hash codes of words: whole numbers below ``codes``."""
     import xxhash
 
-    return CLASSES + xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % ((1 << BITS) - CLASSES)
+    h = xxhash.xxh64_intdigest
+    return (np.fromiter((h(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words)) % np.uint64(codes)).astype(np.int64)
+
+
+def codes_for(languages: int) -> int:
+    """Codes that each of so many languages has, classes left room for."""
+    return max(1, min(1 << BITS, CODES // max(1, languages)) - CLASSES)
+
+
+# -- packed arrays -------------------------------------------------------------
 
 
 def pack(x: np.ndarray) -> bytes:
     """Whole numbers as compressed planes of bytes."""
-    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), 1)
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
 
 
 def unpack(x: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(x), dtype=np.uint8)
+    import zstandard
+
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, len(raw) // np.dtype(kind).itemsize).T).view(kind).ravel()
 
 
+def _falls(x: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Differences within runs; a run's first value as it is."""
+    return np.where(begins, x, np.diff(x, prepend=0))
+
+
+def _rises(d: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    total = np.cumsum(d)
+    return total - (total - d)[begins][np.cumsum(begins) - 1]
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted trigrams by their differences."""
-    return pack(np.diff(keys, prepend=0))
+    """Sorted distinct trigrams by the differences of each word within equal words before it."""
+    a, b, c = keys >> 2 * BITS, (keys >> BITS) & MASK, keys & MASK
+    new_a = np.diff(a, prepend=-1) != 0
+    new_b = new_a | (np.diff(b, prepend=-1) != 0)
+    return pack(np.concatenate([np.diff(a, prepend=0), _falls(b, new_a), _falls(c, new_b)]).astype(np.int32))
 
 
 def unpack_keys(x: bytes) -> np.ndarray:
-    return np.cumsum(unpack(x, np.int64))
-
-
-def _coding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents of one language: places of their words in the block's own list of (code, class)."""
-    pid, number = TaskContext.get().partitionId(), 0
-    held: dict[str, list] = {}
-    known: dict[str, tuple[int, int]] = {}
-    lists: dict[str, dict[str, int]] = {}
-    sizes: Counter = Counter()
-
-    def block(lang: str) -> pa.RecordBatch:
-        nonlocal number
-        ids, docs = zip(*held.pop(lang), strict=True)
-        words = lists.pop(lang)
-        number += 1
-        del sizes[lang]
-        for w in words:
-            if w not in known:
-                if len(known) > KNOWN:
-                    known.clear()
-                known[w] = word_code(w), word_class(w)
-        own = np.array([known.get(w) or (word_code(w), word_class(w)) for w in words], dtype=np.int32).reshape(-1, 2)
-        one = lambda x, t: pa.array([x], t)
-        return pa.RecordBatch.from_arrays([one((pid << 32) + number, pa.int64()), one(lang, pa.string()), one(list(ids), pa.list_(pa.int64())), one([len(x) for x in docs], pa.list_(pa.int32())), one(pack(np.concatenate(docs)), pa.binary()), one(pack(own.ravel()), pa.binary())], names=["block", "lang", "ids", "sizes", "codes", "words"])
+    da, db, dc = unpack(x, np.int32).reshape(3, -1).astype(np.int64)
+    if not len(da):
+        return da
+    new_a = da != 0
+    new_a[0] = True
+    new_b = new_a | (db != 0)
+    return (np.cumsum(da) << 2 * BITS) | (_rises(db, new_a) << BITS) | _rises(dc, new_b)
 
-    for batch in batches:
-        for start in range(0, batch.num_rows, 256):
-            part = batch.slice(start, 256)
-            for doc, lang, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                at = lists.setdefault(lang, {})
-                found = text.split()
-                held.setdefault(lang, []).append((doc, np.fromiter((at.setdefault(w, len(at)) for w in found), dtype=np.int32, count=len(found))))
-                sizes[lang] += len(found)
-                if sizes[lang] >= BLOCK:
-                    yield block(lang)
-    for lang in list(held):
-        yield block(lang)
 
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=0).astype(np.int32))
 
-def trigrams(ids: np.ndarray) -> np.ndarray:
-    """Packed trigrams of one coded document, its start and end included."""
-    x = np.empty(len(ids) + 3, dtype=np.int64)
-    x[:2], x[2:-1], x[-1] = START, ids, END
-    return (x[:-2] << 2 * BITS) | (x[1:-1] << BITS) | x[2:]
 
+def unpack_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(unpack(x, np.int32).astype(np.int64))
 
-def _documents(sizes: pa.Scalar, codes: pa.Scalar, words: pa.Scalar, vocabulary: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sizes and codes of a block's documents; words outside the vocabulary get their class."""
-    n = np.array(sizes.values, dtype=np.int64)
-    at, own = unpack(codes.as_py(), np.int32), unpack(words.as_py(), np.int32).reshape(-1, 2)
-    ids = np.where(np.isin(own[:, 0], vocabulary), own[:, 0], own[:, 1])[at]
-    first = np.zeros(len(ids) + 1, dtype=bool)
-    first[np.concatenate([[0], np.cumsum(n)])] = True
-    again = np.zeros(len(ids), dtype=bool)
-    again[1:] = (at[1:] == at[:-1]) & (ids[1:] < CLASSES) & ~first[1:-1]
-    ids[again] = REPEAT
-    return n, np.split(ids, np.cumsum(n)[:-1])
 
+def _summed_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, with the sums of their counts."""
+    own, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return own, np.bincount(at, weights=np.concatenate(counts), minlength=len(own)).astype(np.int64)
 
-def _good(ids: pa.Scalar, good: pa.Scalar) -> np.ndarray:
-    return np.isin(np.array([x if x is not None else -1 for x in ids.as_py()], dtype=np.int64), np.array(good.as_py(), dtype=np.int64)) & np.array([x is not None for x in ids.as_py()])
 
+def _row(values: list, kinds: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=names)
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the word codes of a block's training documents."""
-    for batch in batches:
-        for lang, ids, sizes, codes, words, good in zip(*batch.columns, strict=True):
-            wanted = np.repeat(_good(ids, good), np.array(sizes.values, dtype=np.int64))
-            own = unpack(words.as_py(), np.int32).reshape(-1, 2)[:, 0]
-            found, n = np.unique(own[unpack(codes.as_py(), np.int32)[wanted]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found)), pa.array(found.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+
+# -- words and blocks -----------------------------------------------------------
+
+
+def _word_counts(trusted, codes: int):
+    """Rows (lang, part, codes, n) of the words of training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, int]] = {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for lang, words in held.items():
+                own, n = _summed_up([codes_of(list(words), codes)], [np.fromiter(words.values(), dtype=np.int64, count=len(words))])
+                part = own >> 18
+                for p in np.unique(part).tolist():
+                    yield _row([lang, p, pack_sorted(own[part == p]), pack(n[part == p])], [pa.string(), pa.int32(), pa.binary(), pa.binary()], ["lang", "part", "codes", "n"])
+            held.clear()
+
+        for batch in batches:
+            train = trusted(batch)
+            for lang, text in zip(batch.column(1).filter(train).to_pylist(), batch.column(2).filter(train), strict=True):
+                words = held.setdefault(lang, {})
+                for w in text.as_py().split():
+                    words[w] = words.get(w, 0) + 1
+                if sum(map(len, held.values())) > WORDS:
+                    yield from counted()
+        yield from counted()
+
+    return run
+
+
+def _words_summed(least: int):
+    def run(group: pa.Table) -> pa.Table:
+        own, n = _summed_up([unpack_sorted(x.as_py()) for x in group["codes"]], [unpack(x.as_py(), np.int64) for x in group["n"]])
+        own, n = own[n >= least], n[n >= least]
+        return pa.table({"lang": [group["lang"][0].as_py()], "codes": pa.array([pack_sorted(own)], pa.binary()), "n": pa.array([pack(n)], pa.binary())})
+
+    return run
+
+
+class Vocabulary:
+    """Ranks of a language's words by their codes."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, n = codes[order].astype(np.int32), n[order]
+        self.rank = np.empty(len(n), dtype=np.int32)
+        self.rank[np.lexsort((self.codes, -n))] = np.arange(CLASSES, CLASSES + len(n))
+
+    def numbers(self, words: list[str], codes: int) -> np.ndarray:
+        """Each word's rank, or its class if it has none."""
+        own = codes_of(words, codes)
+        at, there = _at(self.codes, own)
+        out = self.rank[at] if len(self.codes) else np.zeros(len(words), dtype=np.int32)
+        rest = np.flatnonzero(~there)
+        out[rest] = [word_class(words[i]) for i in rest.tolist()]
+        return out
+
+
+BLOCK_COLUMNS = "block long, lang string, ids array<long>, sizes array<int>, train binary, codes binary, often array<int>, often_n array<long>, tokens long"
+
+
+def _coding(trusted, vocabulary, codes: int):
+    """Blocks of documents of one language; without a vocabulary their words aren't numbered."""
+    kinds = [pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64()]
+    names = [c.split()[0] for c in BLOCK_COLUMNS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, number = TaskContext.get().partitionId(), 0
+        held: dict[str, list] = {}
+        lists: dict[str, dict[str, int]] = {}
+        size: dict[str, int] = {}
+
+        def block(lang: str) -> pa.RecordBatch:
+            nonlocal number
+            ids, train, docs = zip(*held.pop(lang), strict=True)
+            words, n = lists.pop(lang), size.pop(lang)
+            number += 1
+            sizes, often, x = [len(d) for d in docs], np.empty(0, dtype=np.int64), b""
+            if lang in vocabulary.value:
+                at = np.concatenate(docs)
+                own = vocabulary.value[lang].numbers(list(words), codes)
+                x = own[at] if len(own) else np.empty(0, dtype=np.int32)
+                first = np.zeros(n + 1, dtype=bool)
+                first[np.concatenate([[0], np.cumsum(sizes)])] = True
+                again = np.zeros(n, dtype=bool)
+                again[1:] = (at[1:] == at[:-1]) & (x[1:] < CLASSES) & ~first[1:-1]
+                x[again] = REPEAT
+                often = np.bincount(x)
+                x = pack(x)
+            top = np.flatnonzero(often > n * FREQUENT)
+            return _row([(pid << 32) + number, lang, list(ids), sizes, np.packbits(train).tobytes(), x, top.tolist(), often[top].tolist(), n], kinds, names)
+
+        for batch in batches:
+            train = trusted(batch).to_pylist()
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for doc, lang, text, good in zip(*(part.column(i).to_pylist() for i in range(3)), train[start : start + 256], strict=True):
+                    at = lists.setdefault(lang, {})
+                    found = text.split()
+                    held.setdefault(lang, []).append((doc, good, np.fromiter((at.setdefault(w, len(at)) for w in found), dtype=np.int32, count=len(found))))
+                    size[lang] = size.get(lang, 0) + len(found)
+                    if size[lang] >= BLOCK:
+                        yield block(lang)
+        for lang in list(held):
+            yield block(lang)
+
+    return run
+
+
+def trigrams(ids: np.ndarray) -> np.ndarray:
+    """Packed trigrams of one document's numbers, its start and end included."""
+    return block_trigrams(ids, np.array([len(ids)]))
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each trigram, by its middle word."""
-    b = (keys >> BITS) & ((1 << BITS) - 1)
-    return ((b * 0x9E3779B1) >> 7) % shards
+def block_trigrams(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Packed trigrams of all documents in order: one more for each than it has words."""
+    x = np.full(len(ids) + 3 * len(sizes), START, dtype=np.int64)
+    ends = np.cumsum(sizes + 3) - 1
+    place = np.arange(len(ids)) + 2 + 3 * np.repeat(np.arange(len(sizes)), sizes)
+    x[place], x[ends] = ids, END
+    last = np.ones(len(x), dtype=bool)
+    begins = ends - sizes - 2
+    last[begins], last[begins + 1] = False, False
+    at = np.flatnonzero(last)
+    return (x[at - 2] << 2 * BITS) | (x[at - 1] << BITS) | x[at]
 
 
-def _dealt(vocabulary: dict[str, np.ndarray], shards: dict[str, int], train: bool):
+# -- shards ---------------------------------------------------------------------
+
+
+def shard_of(keys: np.ndarray, shards: int, split: dict[int, int] | None = None) -> np.ndarray:
+    """Shard of each trigram, by its middle word; a split word's by the word before too."""
+    b = (keys >> BITS) & MASK
+    mixed = b * 0x9E3779B1
+    if split:
+        words = np.array(sorted(split))
+        at, there = _at(words, b)
+        parts = np.where(there, np.array([split[w] for w in words.tolist()])[at], 1)
+        mixed = mixed + ((keys >> 2 * BITS) * 0x85EBCA6B >> 9) % parts * 0xC2B2AE35
+    return (mixed >> 7) % shards
+
+
+def _dealt(shards: dict[str, int], split: dict[str, dict[int, int]], train: bool):
     """Rows (lang, shard, block, keys, n) of a block's distinct trigrams; for training with their counts."""
+    kinds, names = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["lang", "shard", "block", "keys", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lang, ids, sizes, codes, words, *good in zip(*batch.columns, strict=True):
-                own, k = lang.as_py(), shards[lang.as_py()]
-                docs = _documents(sizes, codes, words, vocabulary.get(own, NONE))[1]
-                if train:
-                    docs = [d for d, w in zip(docs, _good(ids, good[0]), strict=True) if w]
-                if not docs:
+            for block, lang, sizes, good, codes in zip(*batch.columns, strict=True):
+                own = lang.as_py()
+                if own not in shards:
                     continue
-                keys, n = np.unique(np.concatenate([trigrams(d) for d in docs]), return_counts=True)
-                of = shard_of(keys, k)
+                keys, n = block_trigrams(unpack(codes.as_py(), np.int32), np.array(sizes.values, dtype=np.int64)), None
+                if train:
+                    wanted = np.unpackbits(np.frombuffer(good.as_py(), dtype=np.uint8), count=len(sizes.values)).astype(bool)
+                    keys, n = np.unique(keys[np.repeat(wanted, np.array(sizes.values, dtype=np.int64) + 1)], return_counts=True)
+                else:
+                    keys = np.unique(keys)
+                of = shard_of(keys, shards[own], split.get(own))
                 for i in np.unique(of).tolist():
                     here = of == i
-                    row = [own, i, block.as_py(), pack_keys(keys[here]), pack(n[here].astype(np.int64)) if train else None]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["lang", "shard", "block", "keys", "n"])
+                    yield _row([own, i, block.as_py(), pack_keys(keys[here]), pack(n[here].astype(np.int32)) if train else None], kinds, names)
+
+    return run
+
+
+def _few(n: np.ndarray) -> list[int]:
+    """How many occur once, twice, three and four times."""
+    return [int((n == i).sum()) for i in (1, 2, 3, 4)]
+
+
+def _pairs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams of the last two words and before how many words each one was seen after."""
+    return np.unique(keys & ((1 << 2 * BITS) - 1), return_counts=True)
+
+
+MODEL = "lang string, shard int, block long, keys binary, n binary, few3 array<long>, few2 array<long>, last binary, last_n binary, pairs binary, pairs_n binary"
+
+
+def _model_table(**columns) -> pa.Table:
+    out = {}
+    for spec in MODEL.split(", "):
+        name, kind = spec.split()
+        t = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[kind]
+        out[name] = pa.array([columns.get(name)], t)
+    return pa.table(out)
+
+
+def _bigram_statistics(pairs: np.ndarray, n2: np.ndarray) -> dict:
+    last, n1 = np.unique(pairs & MASK, return_counts=True)
+    return {"few2": _few(n2), "last": pack_sorted(last), "last_n": pack(n1.astype(np.int32))}
+
+
+def _summed(split: dict[str, dict[int, int]]):
+    """A shard's counts with the statistics of its trigrams and whole bigrams; bigrams of split words apart."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lang = group["lang"][0].as_py()
+        keys, n = _summed_up([unpack_keys(x.as_py()) for x in group["keys"]], [unpack(x.as_py(), np.int32) for x in group["n"]])
+        pairs, n2 = _pairs_of(keys)
+        part = np.isin(pairs >> BITS, list(split.get(lang, ())))
+        more = {"pairs": pack_keys(pairs[part]), "pairs_n": pack(n2[part].astype(np.int32))} if part.any() else {}
+        return _model_table(lang=lang, shard=group["shard"][0].as_py(), block=-1, keys=pack_keys(keys), n=pack(n), few3=_few(n), **_bigram_statistics(pairs[~part], n2[~part]), **more)
 
     return run
 
 
-def _summed(group: pa.Table) -> pa.Table:
-    """A shard's counts, how many trigrams and bigrams occur 1 to 4 times, and its bigrams by last word."""
-    keys = np.concatenate([unpack_keys(x.as_py()) for x in group["keys"]])
-    n = np.concatenate([unpack(x.as_py(), np.int64) for x in group["n"]])
-    keys, at = np.unique(keys, return_inverse=True)
-    n = np.bincount(at, weights=n).astype(np.int64)
-    pairs, n2 = np.unique(keys & ((1 << 2 * BITS) - 1), return_counts=True)
-    last, n1 = np.unique(pairs & ((1 << BITS) - 1), return_counts=True)
-    few = [int((x == i).sum()) for x in (n, n2) for i in (1, 2, 3, 4)]
-    row = [group["lang"][0].as_py(), group["shard"][0].as_py(), -1, pack_keys(keys), pack(n), few, last.tolist(), n1.tolist()]
-    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["lang", "shard", "block", "keys", "n", "few", "last", "n1"])
+def _statistics_summed(group: pa.Table) -> pa.Table:
+    """The statistics of several shards of a language, added up."""
+    last, n1 = _summed_up([unpack_sorted(x.as_py()) for x in group["last"]], [unpack(x.as_py(), np.int32) for x in group["last_n"]])
+    few = {c: np.sum([x.as_py() for x in group[c] if x.is_valid] or [[0] * 4], axis=0).tolist() for c in ("few3", "few2")}
+    return _model_table(lang=group["lang"][0].as_py(), shard=0, block=-1, last=pack_sorted(last), last_n=pack(n1.astype(np.int32)), **few)
+
+
+def _split_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bigrams of split words, a row for each word of a shard."""
+    for batch in batches:
+        for lang, pairs, n in zip(*batch.columns, strict=True):
+            pairs, n = unpack_keys(pairs.as_py()), unpack(n.as_py(), np.int32)
+            b = pairs >> BITS
+            for w in np.unique(b).tolist():
+                yield _row([lang.as_py(), w, pack_keys(pairs[b == w]), pack(n[b == w])], [pa.string(), pa.int32(), pa.binary(), pa.binary()], ["lang", "shard", "pairs", "pairs_n"])
+
+
+def _split_summed(group: pa.Table) -> pa.Table:
+    """All bigrams of a split word; the word is in the place of the shard."""
+    pairs, n2 = _summed_up([unpack_keys(x.as_py()) for x in group["pairs"]], [unpack(x.as_py(), np.int32) for x in group["pairs_n"]])
+    return _model_table(lang=group["lang"][0].as_py(), shard=group["shard"][0].as_py(), block=-2, pairs=pack_keys(pairs), pairs_n=pack(n2.astype(np.int32)), **_bigram_statistics(pairs, n2))
 
 
 def discounts_of(few: list[int]) -> np.ndarray:
@@ -215,18 +404,33 @@ def discounts_of(few: list[int]) -> np.ndarray:
     return np.array([max(LEAST_DISCOUNT, min(i, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)])
 
 
+def single_words(last: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted words, their probabilities, and that of any other."""
+    off = discounts_of(_few(n1))[np.minimum(n1, 3) - 1]
+    other = max(float(off.sum()), 0.5) / n1.sum() / (len(n1) + 1)
+    return last.astype(np.int32), ((n1 - off) / n1.sum() + other).astype(np.float64), float(other)
+
+
 def _at(own: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the asked values in a sorted array that has some, and which are there."""
+    """Places of the asked values in a sorted array, and which are there."""
+    if not len(own):
+        return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
     at = np.minimum(np.searchsorted(own, asked), len(own) - 1)
     return at, own[at] == asked
 
 
-def log_probabilities(keys: np.ndarray, n: np.ndarray, single: tuple[np.ndarray, np.ndarray, float], d2: np.ndarray, d3: np.ndarray):
+def log_probabilities(keys: np.ndarray, n: np.ndarray, single: tuple[np.ndarray, np.ndarray, float], d2: np.ndarray, d3: np.ndarray, whole: tuple[np.ndarray, np.ndarray] | None = None):
     """Function from asked trigrams of a shard to their log probabilities.
 
-    ``single`` has sorted word codes, their probabilities and that of any other.
+    ``single`` is as ``single_words`` gives it; ``whole`` has the sorted bigrams
+    of split words and their counts, which replace those seen in this shard.
     """
-    pairs, n2 = np.unique(keys & ((1 << 2 * BITS) - 1), return_counts=True)
+    pairs, n2 = _pairs_of(keys)
+    if whole is not None:
+        rest = ~np.isin(pairs >> BITS, np.unique(whole[0] >> BITS))
+        pairs, n2 = np.concatenate([pairs[rest], whole[0]]), np.concatenate([n2[rest], whole[1]])
+        order = np.argsort(pairs)
+        pairs, n2 = pairs[order], n2[order]
     off3, off2 = d3[np.minimum(n, 3) - 1], d2[np.minimum(n2, 3) - 1]
     ab, at3 = np.unique(keys >> BITS, return_inverse=True)
     t3, g3 = np.bincount(at3, weights=n), np.bincount(at3, weights=off3)
@@ -235,140 +439,147 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray, single: tuple[np.ndarray,
     x3, x2 = (n - off3) / t3[at3], (n2 - off2) / t2[at2]
 
     def asked(q: np.ndarray) -> np.ndarray:
-        at, there = _at(single[0], q & ((1 << BITS) - 1))
+        at, there = _at(single[0], (q & MASK).astype(np.int32))
         p = np.where(there, single[1][at], single[2])
         for own, x, contexts, rest, pair in ((pairs, x2, b, g2 / t2, q & ((1 << 2 * BITS) - 1)), (keys, x3, ab, g3 / t3, q)):
-            at, there = _at(contexts, pair >> BITS)
-            p = p * np.where(there, rest[at], 1.0)
-            at, there = _at(own, pair)
-            p += np.where(there, x[at], 0.0)
+            if len(own):
+                at, there = _at(contexts, pair >> BITS)
+                p = p * np.where(there, rest[at], 1.0)
+                at, there = _at(own, pair)
+                p += np.where(there, x[at], 0.0)
         return np.log(p)
 
     return asked
 
 
-def _answers(single: dict, discounts: dict):
+def _answers(model):
     """Rows (block, shard, logs) of a shard, one for each block that asks."""
 
     def run(group: pa.Table) -> pa.Table:
         lang, shard = group["lang"][0].as_py(), group["shard"][0].as_py()
-        model = group.filter(pa.compute.equal(group["block"], -1))
-        if model.num_rows:
-            keys, n = unpack_keys(model["keys"][0].as_py()), unpack(model["n"][0].as_py(), np.int64)
-        else:  # a shard without training text: no context is known
-            keys, n = np.array([-1], dtype=np.int64), np.array([1], dtype=np.int64)
-        of = log_probabilities(keys, n, single[lang], *discounts[lang])
-        rows = [(x.as_py(), pack(np.rint(of(unpack_keys(k.as_py())) / STEP).astype(np.int32))) for x, k in zip(group["block"], group["keys"], strict=True) if x.as_py() >= 0]
+        single, d2, d3 = model.value[lang]
+        block = group["block"].to_numpy()
+        keys, n, whole = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), None
+        for i in np.flatnonzero(block == -1).tolist():
+            keys, n = unpack_keys(group["keys"][i].as_py()), unpack(group["n"][i].as_py(), np.int64)
+        if (split := np.flatnonzero(block == -2)).size:
+            whole = _summed_up([unpack_keys(group["keys"][i].as_py()) for i in split.tolist()], [unpack(group["n"][i].as_py(), np.int32) for i in split.tolist()])
+        of = log_probabilities(keys, n, single, d2, d3, whole)
+        rows = [(int(block[i]), pack(np.rint(of(unpack_keys(group["keys"][i].as_py())) / STEP).astype(np.int16))) for i in np.flatnonzero(block >= 0).tolist()]
         return pa.table([pa.array([x for x, _ in rows], pa.int64()), pa.array([shard] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "shard", "logs"])
 
     return run
 
 
-def _perplexities(vocabulary: dict[str, np.ndarray], shards: dict[str, int]):
+def _perplexities(shards: dict[str, int], split: dict[str, dict[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, ids, sizes, codes, words, answers in zip(*batch.columns, strict=True):
-                own = lang.as_py()
-                n, docs = _documents(sizes, codes, words, vocabulary.get(own, NONE))
-                keys = np.unique(np.concatenate([trigrams(d) for d in docs]))
-                logs = np.empty(len(keys))
-                each = sorted((x["shard"], x["logs"]) for x in answers.as_py())
-                logs[np.argsort(shard_of(keys, shards[own]), kind="stable")] = np.concatenate([unpack(x, np.int32) for _, x in each]) * STEP
-                mean = [float(logs[np.searchsorted(keys, trigrams(d))].mean()) for d in docs]
-                yield pa.RecordBatch.from_arrays([ids.values, pa.array([own] * len(n)), pa.array(n), pa.array(np.exp(-np.array(mean)))], names=["doc_id", "lang", "n_tokens", "perplexity"])
+            for lang, ids, sizes, codes, answers in zip(*batch.columns, strict=True):
+                own, n = lang.as_py(), np.array(sizes.values, dtype=np.int64)
+                mean = pa.nulls(len(n), pa.float64())
+                if own in shards:
+                    keys, at = np.unique(block_trigrams(unpack(codes.as_py(), np.int32), n), return_inverse=True)
+                    logs = np.empty(len(keys))
+                    each = sorted((x["shard"], x["logs"]) for x in answers.as_py())
+                    logs[np.argsort(shard_of(keys, shards[own], split.get(own)), kind="stable")] = np.concatenate([unpack(x, np.int16) for _, x in each]) * STEP
+                    mean = pa.array(-np.add.reduceat(logs[at], np.cumsum(n + 1) - n - 1) / (n + 1))
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array([own] * len(n), pa.string()), pa.array(n), mean], names=["doc_id", "lang", "n_tokens", "surprise"])
 
     return run
 
 
-def kneser_ney(counts: DataFrame, asked: DataFrame, few_languages: bool = False) -> DataFrame:
-    """(lang, key, logp) for the asked (lang, key) from trigram counts (lang, key, n).
+# -- the whole ------------------------------------------------------------------
+
+
+def _trusted(good: DataFrame, rows: DataFrame) -> tuple[DataFrame, object]:
+    """The rows, and a function that tells a batch's training documents.
 
-    The joins that define what the shards compute; the tests compare both.
-    With ``few_languages``, tables of one row for each language are broadcast.
+    Few ids are sent to the tasks; with more the rows are joined with them.
     """
-    small = F.broadcast if few_languages else lambda df: df
-    part = lambda i: F.shiftright("key", i * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
-    c3 = counts.select("lang", part(2).alias("a"), part(1).alias("b"), part(0).alias("c"), "n")
-    c2 = c3.groupBy("lang", "b", "c").agg(F.count("*").alias("n"))
-    c1 = c2.groupBy("lang", "c").agg(F.count("*").alias("n"))
-
-    def discounts(c: DataFrame) -> DataFrame:
-        n = [F.greatest(F.sum((F.col("n") == i).cast("double")), F.lit(1.0)) for i in (1, 2, 3, 4)]
-        y = n[0] / (n[0] + 2 * n[1])
-        d = [F.greatest(F.lit(LEAST_DISCOUNT), F.least(F.lit(float(i)), i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)]
-        return c.groupBy("lang").agg(F.array(*d).alias("d"))
-
-    def discounted(c: DataFrame) -> DataFrame:
-        return c.join(small(discounts(c)), "lang").withColumn("off", F.element_at("d", F.least("n", F.lit(3)).cast("int")))
-
-    def context(c: DataFrame, keys: list[str], name: str) -> DataFrame:
-        return c.groupBy(*keys).agg(F.sum("n").alias(f"t{name}"), F.sum("off").alias(f"g{name}"), F.count("*").alias(f"v{name}"))
-
-    d3, d2, d1 = discounted(c3), discounted(c2), discounted(c1)
-    q = asked.select("lang", "key", part(2).alias("a"), part(1).alias("b"), part(0).alias("c"))
-    q = q.join(d3.select("lang", "a", "b", "c", (F.col("n") - F.col("off")).alias("x3")), ["lang", "a", "b", "c"], "left").join(context(d3, ["lang", "a", "b"], "3"), ["lang", "a", "b"], "left")
-    q = q.join(d2.select("lang", "b", "c", (F.col("n") - F.col("off")).alias("x2")), ["lang", "b", "c"], "left").join(context(d2, ["lang", "b"], "2"), ["lang", "b"], "left")
-    q = q.join(d1.select("lang", "c", (F.col("n") - F.col("off")).alias("x1")), ["lang", "c"], "left").join(small(context(d1, ["lang"], "1")), "lang")
-    zero = F.lit(0.0)
-    p1 = F.coalesce(F.col("x1"), zero) / F.col("t1") + F.greatest(F.col("g1"), F.lit(0.5)) / F.col("t1") / (F.col("v1") + 1)
-    p2 = F.coalesce(F.col("x2") / F.col("t2"), zero) + F.coalesce(F.col("g2") / F.col("t2"), F.lit(1.0)) * p1
-    p3 = F.coalesce(F.col("x3") / F.col("t3"), zero) + F.coalesce(F.col("g3") / F.col("t3"), F.lit(1.0)) * p2
-    return q.select("lang", "key", F.log(p3).alias("logp"))
-
-
-def _by_language(rows: DataFrame) -> Iterator[tuple]:
-    """Of rows with a language first: each language with arrays of its other columns."""
-    found = rows.toArrow()
-    lang = found["lang"].combine_chunks().dictionary_encode()
-    of, rest = np.array(lang.indices), [np.array(c) for c in found.columns[1:]]
-    for i, name in enumerate(lang.dictionary.to_pylist()):
-        yield name, *(x[of == i] for x in rest)
+    ids = good.filter("NOT hold").select("doc_id")
+    if ids.count() > FEW_TRUSTED:
+        rows = rows.join(ids.withColumn("train", F.lit(True)), "doc_id", "left").select("doc_id", "lang", "text", F.coalesce("train", F.lit(False)).alias("train"))
+        return rows, lambda batch: batch.column(3)
+    known = rows.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["doc_id"].to_numpy()))
+
+    def has(batch: pa.RecordBatch) -> pa.Array:
+        there = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+        return pa.array(there & _at(known.value, batch.column(0).fill_null(0).to_numpy())[1])
+
+    return rows, has
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, least: int = LEAST_COUNT) -> DataFrame:
     """doc_id, lang, n_tokens, perplexity, threshold and kept of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
+    share = spark.sparkContext.broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = scratch.write(rows.mapInArrow(_coding, "block long, lang string, ids array<long>, sizes array<int>, codes binary, words binary"), "blocks")
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("q")).dropna().groupBy("doc_id").agg(F.max("q").alias("q")).filter("q > 0")
-    good = good.withColumn("hold", F.pmod(F.xxhash64("doc_id"), F.lit(HOLD)) == 0)
-    members = blocks.select("block", F.explode("ids").alias("doc_id")).join(good.filter("NOT hold"), "doc_id").groupBy("block").agg(F.collect_set("doc_id").alias("good"))
-    members = scratch.write(members, "members")
-    trained = blocks.join(members, "block")
-    counted = trained.select("lang", "ids", "sizes", "codes", "words", "good").mapInArrow(_word_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    vocabulary = {lang: np.sort(code).astype(np.int32) for lang, code in _by_language(counted.select("lang", "code"))}
-    tokens = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    shards = {lang: max(1, -(-n // SHARD)) for lang, n in blocks.groupBy("lang").agg(F.sum(tokens)).collect()}
+    good = scratch.write(good.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(HOLD)) == 0).alias("hold")), "good")
+    rows, trusted = _trusted(good, rows)
+
+    languages = rows.select("lang").distinct().count()
+    codes = codes_for(languages)
+    counted = rows.mapInArrow(_word_counts(trusted, codes), "lang string, part int, codes binary, n binary").groupBy("lang", "part").applyInArrow(_words_summed(least), "lang string, codes binary, n binary")
+    words: dict[str, list] = {}
+    for lang, own, n in counted.collect():
+        words.setdefault(lang, []).append((unpack_sorted(own), unpack(n, np.int64)))
+    vocabulary = share({lang: Vocabulary(*map(np.concatenate, zip(*x, strict=True))) for lang, x in words.items()})
+    del words
+
+    blocks = scratch.write_bucketed(rows.mapInArrow(_coding(trusted, vocabulary, codes), BLOCK_COLUMNS), "block", "blocks")
+    tokens = dict(blocks.filter(F.col("lang").isin(list(vocabulary.value))).groupBy("lang").agg(F.sum("tokens")).collect()) if vocabulary.value else {}
+    shards = {lang: max(1, -(-n // SHARD)) for lang, n in tokens.items()}
+    often = blocks.select("lang", F.explode(F.arrays_zip("often", "often_n")).alias("x")).groupBy("lang", "x.often").agg(F.sum("x.often_n").alias("n")).filter(F.col("n") > SHARD)
+    split: dict[str, dict[int, int]] = {}
+    for lang, word, n in often.collect():  # of each language fewer than 256
+        split.setdefault(lang, {})[word] = -(-n // SHARD)
 
     packed = "lang string, shard int, block long, keys binary, n binary"
-    counts = trained.select("block", "lang", "ids", "sizes", "codes", "words", "good").mapInArrow(_dealt(vocabulary, shards, True), packed)
-    model = scratch.write(counts.groupBy("lang", "shard").applyInArrow(_summed, f"{packed}, few array<long>, last array<long>, n1 array<long>"), "model")
-    few: dict[str, np.ndarray] = {}
-    for lang, x in model.select("lang", "few").collect():
-        few[lang] = few.get(lang, 0) + np.array(x)
-    last = model.select("lang", F.explode(F.arrays_zip("last", "n1")).alias("z")).groupBy("lang", F.col("z.last").cast("int").alias("c")).agg(F.sum("z.n1").alias("n"))
-    single, discounts = {}, {}
-    for lang, c, n in _by_language(last):
-        c, n = c[np.argsort(c)], n[np.argsort(c)]
-        off = discounts_of([int((n == i).sum()) for i in (1, 2, 3, 4)])[np.minimum(n, 3) - 1]
-        other = max(float(off.sum()), 0.5) / n.sum() / (len(n) + 1)
-        single[lang] = c, (n - off) / n.sum() + other, float(other)
-        discounts[lang] = discounts_of(few[lang][4:]), discounts_of(few[lang][:4])
-
-    langs = model.select("lang").distinct()
-    scorable = blocks.join(F.broadcast(langs), "lang")
-    asked = scorable.select("block", "lang", "ids", "sizes", "codes", "words").mapInArrow(_dealt(vocabulary, shards, False), packed)
-    answers = asked.union(model.select("lang", "shard", "block", "keys", "n")).groupBy("lang", "shard").applyInArrow(_answers(single, discounts), "block long, shard int, logs binary")
+    dealt = lambda train: blocks.select("block", "lang", "sizes", "train", "codes").mapInArrow(_dealt(shards, split, train), packed)
+    model = scratch.write(dealt(True).groupBy("lang", "shard").applyInArrow(_summed(split), MODEL), "model")
+    if split:
+        apart = model.filter("pairs IS NOT NULL").select("lang", "pairs", "pairs_n").mapInArrow(_split_dealt, "lang string, shard int, pairs binary, pairs_n binary")
+        apart = scratch.write(apart.groupBy("lang", "shard").applyInArrow(_split_summed, MODEL), "split")
+    each = model.unionByName(apart) if split else model
+    for key in ([F.col("lang"), F.pmod("shard", F.lit(64)).alias("some")], [F.col("lang")]):  # in two steps, as there may be many shards
+        each = each.groupBy(*key).applyInArrow(_statistics_summed, MODEL)
+    given = share({lang: (single_words(unpack_sorted(last), unpack(n1, np.int32)), discounts_of(few2), discounts_of(few3)) for lang, few3, few2, last, n1 in each.select("lang", "few3", "few2", "last", "last_n").collect()})
+
+    asked = dealt(False).unionByName(model.select("lang", "shard", "block", "keys", "n"))
+    if split:
+        places = spark.createDataFrame([(lang, word, i) for lang, x in split.items() for word, k in x.items() for i in _places(word, k, shards[lang])], "lang string, word int, at int")
+        whole = apart.select("lang", F.col("shard").alias("word"), F.col("pairs").alias("keys"), F.col("pairs_n").alias("n")).join(places, ["lang", "word"])
+        asked = asked.unionByName(whole.select("lang", F.col("at").alias("shard"), F.lit(-2).cast("long").alias("block"), "keys", "n"))
+    answers = asked.groupBy("lang", "shard").applyInArrow(_answers(given), "block long, shard int, logs binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "logs")).alias("answers"))
-    scored = scorable.join(answers, "block").select("lang", "ids", "sizes", "codes", "words", "answers").mapInArrow(_perplexities(vocabulary, shards), "doc_id long, lang string, n_tokens long, perplexity double")
-    unscored = blocks.join(langs, "lang", "left_anti").select(F.explode(F.arrays_zip("ids", "sizes")).alias("z"), "lang")
-    scored = scratch.write(scored.unionByName(unscored.select(F.col("z.ids").alias("doc_id"), "lang", F.col("z.sizes").cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("perplexity"))), "scored")
-    limits = scored.join(good.filter("hold"), "doc_id").groupBy("lang").agg(F.percentile_approx("perplexity", [0.5, quantile], 100_000).alias("q"))
-    middle, high = F.element_at("q", 1), F.element_at("q", 2)
-    limits = limits.select("lang", (middle * F.pow(high / middle, F.lit(BEYOND))).alias("threshold"))
-    out = scored.join(limits, "lang", "left")
-    return out.select("doc_id", "lang", "n_tokens", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    scored = blocks.select("block", "lang", "ids", "sizes", "codes").join(answers, "block", "left")
+    scored = scratch.write(scored.select("lang", "ids", "sizes", "codes", "answers").mapInArrow(_perplexities(shards, split), "doc_id long, lang string, n_tokens long, surprise double"), "scored")
+    scratch.drop(blocks)
+    scratch.drop(model)
+    return _judged(scored, good, quantile, scratch, F.broadcast if languages <= FEW_LANGUAGES else lambda df: df)
+
+
+def _places(word: int, parts: int, shards: int) -> list[int]:
+    """The shards that may hold trigrams with this middle word."""
+    return sorted({((word * 0x9E3779B1 + i * 0xC2B2AE35) >> 7) % shards for i in range(parts)})
+
+
+def _judged(scored: DataFrame, good: DataFrame, quantile: float, scratch: Scratch, small) -> DataFrame:
+    """Perplexity, threshold and kept of scored rows, by the held out ones' quantiles."""
+    held = scratch.write(scored.dropna(subset=["surprise"]).join(good.filter("hold").select("doc_id"), "doc_id").select("lang", "n_tokens", "surprise"), "held")
+    middle = scratch.write(held.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 100_000).alias("middle"), F.count("*").alias("n")), "middle")
+    drawn = (F.col("surprise") - F.col("middle")) * (F.col("n_tokens") + 1) / (F.col("n_tokens") + 1 + PRIOR)
+    off = scratch.write(held.join(small(middle), "lang").select("lang", drawn.alias("off")), "off")
+    top = lambda: F.percentile_approx("off", quantile, 100_000)
+    together = off.agg(top()).first()[0]
+    own = off.groupBy("lang").agg(top().alias("own")).join(middle, "lang")
+    limits = own.select("lang", "middle", F.when(F.col("n") >= LEAST_HELD, F.col("own")).otherwise(F.lit(together)).alias("off"))
+    limit = F.col("middle") + F.col("off") * (F.col("n_tokens") + 1 + PRIOR) / (F.col("n_tokens") + 1)
+    out = scored.join(small(scratch.write(limits, "limits")), "lang", "left")
+    kept = F.coalesce(F.col("surprise") <= limit, F.lit(True))
+    return out.select("doc_id", "lang", "n_tokens", F.exp("surprise").alias("perplexity"), F.exp(limit).alias("threshold"), kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

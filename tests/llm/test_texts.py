@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -127,41 +128,82 @@ def brute_kneser_ney(docs, asked):
     return {g: np.log(p(g)) for g in asked}
 
 
-def test_kneser_ney(spark):
-    rng = np.random.default_rng(1)
-    docs = [rng.integers(3, 9, rng.integers(0, 30)).tolist() for _ in range(40)]
-    asked = {tuple(rng.integers(3, 10, 3).tolist()) for _ in range(60)} | {(0, 0, 1), (0, 0, 4), (0, 5, 1)}
-    keys = np.concatenate([quality.trigrams(np.array(d, dtype=np.uint16)) for d in docs])
-    found, n = np.unique(keys, return_counts=True)
-    counts = spark.createDataFrame([("x", int(k), int(v)) for k, v in zip(found, n, strict=True)], "lang string, key long, n long")
-    pack = lambda g: (g[0] << 42) | (g[1] << 21) | g[2]
-    want = {pack(g): v for g, v in brute_kneser_ney(docs, asked).items()}
-    got = quality.kneser_ney(counts, spark.createDataFrame([("x", k) for k in want], "lang string, key long")).collect()
-    assert {r["key"] for r in got} == set(want)
-    for r in got:
-        assert r["logp"] == pytest.approx(want[r["key"]], abs=1e-9)
-
-
-def test_shards_match_the_joins():
+def test_shards_match_brute_force():
     rng = np.random.default_rng(13)
     docs = [rng.integers(3, 9, rng.integers(0, 30)).tolist() for _ in range(40)]
     asked = sorted({tuple(rng.integers(3, 10, 3).tolist()) for _ in range(60)} | {(0, 0, 1), (0, 0, 4), (0, 5, 1)})
     packed = lambda gs: np.array([(a << 42) | (b << 21) | c for a, b, c in gs], dtype=np.int64)
     keys, n = np.unique(np.concatenate([quality.trigrams(np.array(d, dtype=np.int32)) for d in docs]), return_counts=True)
-    few = lambda x: [int((x == i).sum()) for i in (1, 2, 3, 4)]
-    pairs, n2 = np.unique(keys & ((1 << 42) - 1), return_counts=True)
-    c, n1 = np.unique(pairs & ((1 << 21) - 1), return_counts=True)
-    off = quality.discounts_of(few(n1))[np.minimum(n1, 3) - 1]
-    other = max(off.sum(), 0.5) / n1.sum() / (len(n1) + 1)
-    single = c, (n1 - off) / n1.sum() + other, other
+    assert (quality.unpack_keys(quality.pack_keys(keys)) == keys).all() and not len(quality.unpack_keys(quality.pack_keys(keys[:0])))
+    pairs, n2 = quality._pairs_of(keys)
+    single = quality.single_words(*np.unique(pairs & quality.MASK, return_counts=True))
+    d2, d3 = quality.discounts_of(quality._few(n2)), quality.discounts_of(quality._few(n))
     want = brute_kneser_ney(docs, asked)
-    for shards in (1, 3):
+    for shards, split in ((1, {}), (3, {}), (3, {4: 3, 6: 2})):
+        seen = 0
         for i in range(shards):
-            own, q = quality.shard_of(keys, shards) == i, packed(asked)
-            q = q[quality.shard_of(q, shards) == i]
-            if own.any() and len(q):
-                got = quality.log_probabilities(keys[own], n[own], single, quality.discounts_of(few(n2)), quality.discounts_of(few(n)))(q)
-                assert got == pytest.approx([want[g] for g in asked if packed([g])[0] in q], abs=1e-9)
+            own, q = quality.shard_of(keys, shards, split) == i, packed(asked)
+            q = q[quality.shard_of(q, shards, split) == i]
+            whole = np.isin(pairs >> quality.BITS, list(split))
+            got = quality.log_probabilities(keys[own], n[own], single, d2, d3, (pairs[whole], n2[whole]) if split else None)(q)
+            assert got == pytest.approx([want[g] for g in asked if packed([g])[0] in q], abs=1e-9)
+            seen += len(q)
+        assert seen == len(asked)
+
+
+def brute_quality(docs, trained, least=2):
+    """Perplexity of each (id, text) from the definition, for one language."""
+    count = Counter(w for i, t in docs if i in trained for w in t.split())
+    number = {w: 100 + k for k, w in enumerate(sorted(w for w, n in count.items() if n >= least))}
+
+    def units(text):
+        words, out = text.split(), []
+        for k, w in enumerate(words):
+            unit = number.get(w, quality.word_class(w))
+            out.append(quality.REPEAT if unit < quality.CLASSES and k and words[k - 1] == w else unit)
+        return out
+
+    coded = {i: units(t) for i, t in docs}
+    grams = {i: list(zip([0, 0, *u, 1], [0, *u, 1], [*u, 1], strict=False)) for i, u in coded.items()}
+    logs = brute_kneser_ney([coded[i] for i in trained], {g for gs in grams.values() for g in gs})
+    return {i: np.exp(-np.mean([logs[g] for g in gs])) for i, gs in grams.items()}
+
+
+@pytest.mark.parametrize("shard", [quality.SHARD, 300])
+def test_quality_against_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(quality, "SHARD", shard)
+    rng = np.random.default_rng(5)
+    words = ["the", "of", *("".join(rng.choice(list("abcde"), 3)) for _ in range(60))]
+    text = lambda: " ".join(words[int(len(words) * rng.random() ** 2)] for _ in range(rng.integers(0, 40)))
+    docs = {lang: [(k * 1000 + i, text()) for i in range(70)] for k, lang in enumerate(("en", "de"))}
+    docs["en"] += [(900, "zzz zzz zzz Qqq1 the"), (901, "")]
+    rows = [(i, t, lang) for lang, ds in docs.items() for i, t in ds]
+    labels = [(i, 1) for i, _, _ in rows if i % 1000 < 50] + [(60, 0), (1060, None)]
+    out = quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r["doc_id"]: r for r in out.collect()}
+    hold = {r[0] for r in spark.createDataFrame(labels, "doc_id long, q int").filter("q = 1 AND pmod(xxhash64(doc_id), 5) = 0").collect()}
+    trained = {i for i, q in labels if q} - hold
+    assert len(got) == len(rows)
+    middle, off = {}, []
+    for lang, ds in docs.items():
+        want = brute_quality(ds, {i for i, _ in ds} & trained)
+        assert all(abs(np.log(got[i]["perplexity"] / v)) <= quality.STEP / 2 + 1e-6 for i, v in want.items())
+        held = sorted(np.log(got[i]["perplexity"]) for i, _ in ds if i in hold)
+        middle[lang] = held[-(-len(held) // 2) - 1]
+        n = lambda i: got[i]["n_tokens"] + 1
+        off += [(np.log(got[i]["perplexity"]) - middle[lang]) * n(i) / (n(i) + quality.PRIOR) for i, _ in ds if i in hold]
+    for lang, ds in docs.items():
+        for i, _ in ds:
+            limit = middle[lang] + max(off) * (n(i) + quality.PRIOR) / n(i)
+            assert np.log(got[i]["threshold"]) == pytest.approx(limit) and got[i]["kept"] == (got[i]["perplexity"] <= got[i]["threshold"])
+
+
+def test_many_trusted_ids_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"the word{i % 7} of word{i % 5}", "en") for i in range(60)] + [(None, "x", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    few = sorted(map(tuple, quality.score_quality(docs, labels).fillna(-1).collect()))
+    monkeypatch.setattr(quality, "FEW_TRUSTED", 1)
+    assert sorted(map(tuple, quality.score_quality(docs, labels).fillna(-1).collect())) == few
 
 
 def test_quality_rejects_unknown_words_of_ordinary_shape(spark):
