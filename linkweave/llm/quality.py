@@ -40,6 +40,7 @@ their names, are ignored (``keep_good`` returns them).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,11 +62,11 @@ QUANTILE = 0.995
 PRIOR = 20
 LEAST_HELD = 200
 #: Tokens in a block, distinct words that a task counts at once, and tokens of a language for each of its shards.
-BLOCK = 2_000_000
+BLOCK = 4_000_000
 WORDS = 400_000
 SHARD = 4_000_000
 #: Log probabilities are handed over as whole multiples of this.
-STEP = 1 / 64
+STEP = 1 / 16
 #: Codes of all languages together: 12 bytes each.
 CODES = 1 << 23
 #: Trusted ids up to which they are sent to the tasks (8 bytes each); more are joined.
@@ -157,6 +158,20 @@ def unpack_sorted(x: bytes) -> np.ndarray:
     return np.cumsum(unpack(x, np.int32).astype(np.int64))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def _split_by(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value with its places, in order."""
+    order = np.argsort(group, kind="stable")
+    cuts = np.flatnonzero(np.diff(group[order])) + 1
+    for at in np.split(order, cuts) if len(order) else ():
+        yield int(group[at[0]]), at
+
+
 def _summed_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values, sorted, with the sums of their counts."""
     own, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -174,22 +189,19 @@ def _word_counts(trusted, codes: int):
     """Rows (lang, part, codes, n) of the words of training documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[str, int]] = {}
+        held: dict[str, Counter] = {}
 
         def counted() -> Iterator[pa.RecordBatch]:
             for lang, words in held.items():
                 own, n = _summed_up([codes_of(list(words), codes)], [np.fromiter(words.values(), dtype=np.int64, count=len(words))])
-                part = own >> 18
-                for p in np.unique(part).tolist():
-                    yield _row([lang, p, pack_sorted(own[part == p]), pack(n[part == p])], [pa.string(), pa.int32(), pa.binary(), pa.binary()], ["lang", "part", "codes", "n"])
+                for p, at in _split_by(own >> 18):
+                    yield _row([lang, p, pack_sorted(own[at]), pack(n[at])], [pa.string(), pa.int32(), pa.binary(), pa.binary()], ["lang", "part", "codes", "n"])
             held.clear()
 
         for batch in batches:
             train = trusted(batch)
             for lang, text in zip(batch.column(1).filter(train).to_pylist(), batch.column(2).filter(train), strict=True):
-                words = held.setdefault(lang, {})
-                for w in text.as_py().split():
-                    words[w] = words.get(w, 0) + 1
+                held.setdefault(lang, Counter()).update(text.as_py().split())
                 if sum(map(len, held.values())) > WORDS:
                     yield from counted()
         yield from counted()
@@ -206,6 +218,14 @@ def _words_summed(least: int):
     return run
 
 
+class Places(dict):
+    """Numbers words by when they first come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Vocabulary:
     """Ranks of a language's words by their codes."""
 
@@ -236,7 +256,7 @@ def _coding(trusted, vocabulary, codes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, number = TaskContext.get().partitionId(), 0
         held: dict[str, list] = {}
-        lists: dict[str, dict[str, int]] = {}
+        lists: dict[str, Places] = {}
         size: dict[str, int] = {}
 
         def block(lang: str) -> pa.RecordBatch:
@@ -264,9 +284,9 @@ def _coding(trusted, vocabulary, codes: int):
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 for doc, lang, text, good in zip(*(part.column(i).to_pylist() for i in range(3)), train[start : start + 256], strict=True):
-                    at = lists.setdefault(lang, {})
+                    at = lists.setdefault(lang, Places())
                     found = text.split()
-                    held.setdefault(lang, []).append((doc, good, np.fromiter((at.setdefault(w, len(at)) for w in found), dtype=np.int32, count=len(found))))
+                    held.setdefault(lang, []).append((doc, good, np.fromiter(map(at.__getitem__, found), dtype=np.int32, count=len(found))))
                     size[lang] = size.get(lang, 0) + len(found)
                     if size[lang] >= BLOCK:
                         yield block(lang)
@@ -277,7 +297,7 @@ def _coding(trusted, vocabulary, codes: int):
 
 
 def trigrams(ids: np.ndarray) -> np.ndarray:
-    """Packed trigrams of one document's numbers, its start and end included."""
+    """Packed trigrams of one document's numbers, its start and end included: middle, first, last word."""
     return block_trigrams(ids, np.array([len(ids)]))
 
 
@@ -291,7 +311,7 @@ def block_trigrams(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     begins = ends - sizes - 2
     last[begins], last[begins + 1] = False, False
     at = np.flatnonzero(last)
-    return (x[at - 2] << 2 * BITS) | (x[at - 1] << BITS) | x[at]
+    return (x[at - 1] << 2 * BITS) | (x[at - 2] << BITS) | x[at]
 
 
 # -- shards ---------------------------------------------------------------------
@@ -299,13 +319,13 @@ def block_trigrams(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def shard_of(keys: np.ndarray, shards: int, split: dict[int, int] | None = None) -> np.ndarray:
     """Shard of each trigram, by its middle word; a split word's by the word before too."""
-    b = (keys >> BITS) & MASK
+    b = keys >> 2 * BITS
     mixed = b * 0x9E3779B1
     if split:
         words = np.array(sorted(split))
         at, there = _at(words, b)
         parts = np.where(there, np.array([split[w] for w in words.tolist()])[at], 1)
-        mixed = mixed + ((keys >> 2 * BITS) * 0x85EBCA6B >> 9) % parts * 0xC2B2AE35
+        mixed = mixed + ((keys >> BITS & MASK) * 0x85EBCA6B >> 9) % parts * 0xC2B2AE35
     return (mixed >> 7) % shards
 
 
@@ -324,10 +344,8 @@ def _dealt(shards: dict[str, int], split: dict[str, dict[int, int]], train: bool
                     wanted = np.unpackbits(np.frombuffer(good.as_py(), dtype=np.uint8), count=len(sizes.values)).astype(bool)
                     keys, n = np.unique(keys[np.repeat(wanted, np.array(sizes.values, dtype=np.int64) + 1)], return_counts=True)
                 else:
-                    keys = np.unique(keys)
-                of = shard_of(keys, shards[own], split.get(own))
-                for i in np.unique(of).tolist():
-                    here = of == i
+                    keys = _distinct(keys)
+                for i, here in _split_by(shard_of(keys, shards[own], split.get(own))):
                     yield _row([own, i, block.as_py(), pack_keys(keys[here]), pack(n[here].astype(np.int32)) if train else None], kinds, names)
 
     return run
@@ -338,9 +356,14 @@ def _few(n: np.ndarray) -> list[int]:
     return [int((n == i).sum()) for i in (1, 2, 3, 4)]
 
 
+def _pair(keys: np.ndarray) -> np.ndarray:
+    """Middle and last word of trigrams."""
+    return (keys >> 2 * BITS << BITS) | (keys & MASK)
+
+
 def _pairs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bigrams of the last two words and before how many words each one was seen after."""
-    return np.unique(keys & ((1 << 2 * BITS) - 1), return_counts=True)
+    """Bigrams of middle and last words, and after how many words each one was seen."""
+    return np.unique(_pair(keys), return_counts=True)
 
 
 MODEL = "lang string, shard int, block long, keys binary, n binary, few3 array<long>, few2 array<long>, last binary, last_n binary, pairs binary, pairs_n binary"
@@ -386,9 +409,8 @@ def _split_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, pairs, n in zip(*batch.columns, strict=True):
             pairs, n = unpack_keys(pairs.as_py()), unpack(n.as_py(), np.int32)
-            b = pairs >> BITS
-            for w in np.unique(b).tolist():
-                yield _row([lang.as_py(), w, pack_keys(pairs[b == w]), pack(n[b == w])], [pa.string(), pa.int32(), pa.binary(), pa.binary()], ["lang", "shard", "pairs", "pairs_n"])
+            for w, at in _split_by(pairs >> BITS):
+                yield _row([lang.as_py(), w, pack_keys(pairs[at]), pack(n[at])], [pa.string(), pa.int32(), pa.binary(), pa.binary()], ["lang", "shard", "pairs", "pairs_n"])
 
 
 def _split_summed(group: pa.Table) -> pa.Table:
@@ -427,7 +449,7 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray, single: tuple[np.ndarray,
     """
     pairs, n2 = _pairs_of(keys)
     if whole is not None:
-        rest = ~np.isin(pairs >> BITS, np.unique(whole[0] >> BITS))
+        rest = ~np.isin(pairs >> BITS, _distinct(whole[0] >> BITS))
         pairs, n2 = np.concatenate([pairs[rest], whole[0]]), np.concatenate([n2[rest], whole[1]])
         order = np.argsort(pairs)
         pairs, n2 = pairs[order], n2[order]
@@ -441,7 +463,7 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray, single: tuple[np.ndarray,
     def asked(q: np.ndarray) -> np.ndarray:
         at, there = _at(single[0], (q & MASK).astype(np.int32))
         p = np.where(there, single[1][at], single[2])
-        for own, x, contexts, rest, pair in ((pairs, x2, b, g2 / t2, q & ((1 << 2 * BITS) - 1)), (keys, x3, ab, g3 / t3, q)):
+        for own, x, contexts, rest, pair in ((pairs, x2, b, g2 / t2, _pair(q)), (keys, x3, ab, g3 / t3, q)):
             if len(own):
                 at, there = _at(contexts, pair >> BITS)
                 p = p * np.where(there, rest[at], 1.0)

@@ -132,7 +132,7 @@ def test_shards_match_brute_force():
     rng = np.random.default_rng(13)
     docs = [rng.integers(3, 9, rng.integers(0, 30)).tolist() for _ in range(40)]
     asked = sorted({tuple(rng.integers(3, 10, 3).tolist()) for _ in range(60)} | {(0, 0, 1), (0, 0, 4), (0, 5, 1)})
-    packed = lambda gs: np.array([(a << 42) | (b << 21) | c for a, b, c in gs], dtype=np.int64)
+    packed = lambda gs: np.array([(b << 42) | (a << 21) | c for a, b, c in gs], dtype=np.int64)
     keys, n = np.unique(np.concatenate([quality.trigrams(np.array(d, dtype=np.int32)) for d in docs]), return_counts=True)
     assert (quality.unpack_keys(quality.pack_keys(keys)) == keys).all() and not len(quality.unpack_keys(quality.pack_keys(keys[:0])))
     pairs, n2 = quality._pairs_of(keys)
