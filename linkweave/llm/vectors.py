@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def is_finite(x: Column) -> Column:
+    """Whether a vector is there, not empty, and has only finite components."""
+    return F.coalesce(x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))), F.lit(False))
+
+
 def finite_vectors(df: DataFrame) -> DataFrame:
-    """Rows whose embedding is there, not empty, and has only finite components."""
-    x = F.col("embedding").cast("array<double>")
-    return df.withColumn("embedding", x).filter(x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
+    """Rows with such an embedding, as doubles."""
+    return df.withColumn("embedding", F.col("embedding").cast("array<double>")).filter(is_finite(F.col("embedding")))
 
 
 def matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
