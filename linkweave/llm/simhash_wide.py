@@ -9,14 +9,27 @@ the segment differs in two bits at most; so many segments are used that a pair
 with a share of ``EXPECTED`` differing bits meets with a probability of
 ``RECALL`` at any number of documents.  Where the disjoint segments of the
 words don't suffice, further rounds cut all 256 bits again in other orders.
-Meetings whose fourth word is too far apart are dropped at once, the rest is
-verified over all 256 bits.
-
-Dense groups are treated as in the exact operator: equal fingerprints are one,
-buckets are linked with one member first, and meetings within a component that
-is known by then are no pairs.
-
-Defined cases are those of the exact operator.
+A pair that meets is a candidate if its complete distance allows; candidates are
+verified by the resemblance of the texts' shingle sets, exactly where both have
+fewer than ``SKETCH`` shingles, else over the smallest ``SKETCH`` hashes of their
+union.
+
+Dense groups: equal fingerprints are one.  The members of each bucket are first
+linked with one member, those of a crowded bucket also with the member nearest
+to the majority of a sample's bits, which is the common original where there is
+one.  Then only members of different components meet: those outside a bucket's
+largest component with the others, so that a group costs nothing once it is
+connected, and each pair once for each segment that it meets in.
+
+Near copies that are linked with no original, none with each other, are compared
+pairwise within their buckets.
+
+Defined cases: a text without words, a null one included, has fingerprint zero
+and no shingles; one with fewer words than a shingle has one shingle; texts of
+any length are read whole, ``SKETCH`` hashes of them are kept; rows with a null
+id link like others but are kept, as nothing can name them; repeated rows are
+copies of each other; an empty table gives no rows; further columns, whatever
+their names, are returned by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -28,35 +41,46 @@ from random import Random
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkweave.llm.simhash import BLOCK, SEED, _flipped, _signed, ball
+from linkweave.llm.simhash import BLOCK, SEED, _signed, ball
 from linkweave.operators.components import component_labels
 from linkweave.plans.scratch import Scratch
 
 WORDS = ("f0", "f1", "f2", "f3")
-#: Share of differing bits at resemblance 0.8, the chance that such a pair has to meet, and the link bounds.
+#: Share of differing bits at resemblance 0.8, the chance that such a pair has to meet, and the bounds for candidates: 2.7 and 3.4 standard deviations above.
 EXPECTED, RECALL = 0.156, 0.95
-MAX_BITS = 48
+MAX_BITS = 56
 MAX_CHECK_BITS = 20
+RESEMBLANCE = 0.8
+#: Hashes of a text that are kept to verify its resemblance to others (4 bytes each).
+SKETCH = 512
+#: Members from which a bucket is crowded; so many of them give its majority bits.
+CROWD = 64
 #: Fixed odd multipliers that derive the further hashes from the first.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray:
-    """Four words of a UTF-8 text's SimHash."""
+def shingle_hashes(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Distinct XXH64 values of a UTF-8 text's word shingles, sorted."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return np.zeros(4, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64)
     flat = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts, ends = (ends - sizes)[:n].tolist(), ends[len(words) - n :].tolist()
     h = xxhash.xxh64_intdigest
-    own = np.unique(np.array([h(flat[a:b], SEED) for a, b in zip(starts, ends, strict=True)], dtype=np.uint64))
+    own = np.sort(np.fromiter((h(flat[a:b], SEED) for a, b in zip(starts, ends, strict=True)), dtype=np.uint64, count=n))
+    return own[np.concatenate([[True], own[1:] != own[:-1]])]
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """Four words of the SimHash of shingle hashes."""
     ones = np.zeros((4, 64), dtype=np.int64)
     for at in range(0, len(own), BLOCK):
         x = own[at : at + BLOCK]
@@ -68,15 +92,36 @@ def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray:
     return np.packbits(ones * 2 > len(own), axis=1, bitorder="little").view("<u8").ravel()
 
 
+def sketch_of(own: np.ndarray) -> bytes:
+    """The smallest hashes, shortened to 32 bits."""
+    return (own[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def resemblance(a: bytes, b: bytes) -> float:
+    """Shared part of two texts' shingles by their sketches."""
+    both = np.sort(np.concatenate([np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")]))
+    first = np.concatenate([[True], both[1:] != both[:-1]])
+    n = int(first.sum())
+    if max(len(a), len(b)) < 4 * SKETCH:
+        return (len(both) - n) / n if n else 1.0
+    # Of two sketches' union only the smallest values are sure to be the smallest of both texts.
+    end = np.flatnonzero(first)[SKETCH] if n > SKETCH else len(both)
+    return (int(end) - min(n, SKETCH)) / min(n, SKETCH)
+
+
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, f0..f3, sketch) of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                fps = np.stack([wide_fingerprint(x.as_py() or b"", shingle) for x in batch.column(1)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, i].copy()) for i in range(4))], names=["doc_id", *WORDS])
+            for start in range(0, batch.num_rows, 1_024):
+                part = batch.slice(start, 1_024)
+                own = [shingle_hashes(x.as_py() or b"", shingle) for x in part.column(1)]
+                fps = np.stack([wide_fingerprint(x) for x in own]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(fps[:, i].copy()) for i in range(4)), pa.array(map(sketch_of, own), pa.binary())], names=["doc_id", *WORDS, "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    return rows.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long, sketch binary")
 
 
 def _round(bits: int, number: int) -> list[list[int]]:
@@ -132,8 +177,12 @@ def _distance(a: str, b: str, words: tuple[str, ...] = WORDS) -> F.Column:
     return out
 
 
+def _flips(masks: F.Column, value: F.Column, segment: F.Column) -> F.Column:
+    return F.transform(masks, lambda m, j: F.struct(segment, value.bitwiseXOR(m).alias("v"), j.cast("short").alias("flip")))
+
+
 def _under(fps: DataFrame, places: list[list[int]], radius: int, *more: str) -> DataFrame:
-    """One row for each segment value under which a fingerprint is put: s, v, id, more."""
+    """One row for each segment value under which a fingerprint is put: s, v, how it was flipped (0: not), id, more."""
     each = []
     for i, masks in enumerate(places):
         value = F.lit(0).cast("long")
@@ -142,38 +191,81 @@ def _under(fps: DataFrame, places: list[list[int]], radius: int, *more: str) ->
                 value = value.bitwiseOR(F.col(word).bitwiseAND(F.lit(_signed(m)).cast("long")))
         at = [b for b in range(64) if sum(masks) >> b & 1]
         flips = F.array(*[F.lit(_signed(sum(1 << at[j] for j in range(len(at)) if x >> j & 1))).cast("long") for x in ball(len(at), radius)])
-        each.append(_flipped(flips, value, F.lit(i).cast("short").alias("s")))
-    return fps.select("id", *more, F.explode(F.concat(*each)).alias("k")).select("k.s", "k.v", "id", *more)
+        each.append(_flips(flips, value, F.lit(i).cast("short").alias("s")))
+    return fps.select("id", *more, F.explode(F.concat(*each)).alias("k")).select("k.s", "k.v", "k.flip", "id", *more)
+
+
+def _majority(group: pa.Table) -> pa.Table:
+    bits = [np.unpackbits(group[w].to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) * 2 > group.num_rows for w in WORDS]
+    return pa.table({"s": group["s"][:1], "v": group["v"][:1], **{w: np.packbits(b, bitorder="little").view("<i8") for w, b in zip(WORDS, bits, strict=True)}})
+
+
+def _star(alone: DataFrame, centres: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the members of buckets with their bucket's centre (s, v, centre)."""
+    found = alone.join(centres, ["s", "v"]).select("id", F.struct(*WORDS).alias("x"), "centre")
+    found = found.filter((F.col("id") != F.col("centre.id")) & (_distance("x", "centre") <= MAX_BITS))
+    return found.select(F.least("id", "centre.id").alias("a"), F.greatest("id", "centre.id").alias("b"))
+
+
+def _resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = pa.array([resemblance(x.as_py(), y.as_py()) >= RESEMBLANCE for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+        yield batch.select(["a", "b"]).filter(keep)
+
+
+def _verified(pairs: DataFrame, fps: DataFrame) -> DataFrame:
+    """The pairs whose texts resemble each other enough."""
+    x, y = (fps.select(F.col("id").alias(c), F.col("sketch").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_resembling, "a long, b long")
 
 
 def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b) links among distinct fingerprints (id, f0..f3)."""
+    """(a, b) links among distinct fingerprints (id, f0..f3, sketch)."""
     places = plan_wide(fps.count())[1]
     alone = _under(fps, places, 0, *WORDS)
-    low = alone.groupBy("s", "v").agg(F.min(F.struct("id", *WORDS)).alias("low"), F.count("*").alias("n")).filter("n > 1")
-    star = alone.alias("x").join(low.alias("y"), ["s", "v"]).select("x.id", F.struct(*[f"x.{w}" for w in WORDS]).alias("x"), "low")
-    star = star.filter((F.col("id") != F.col("low.id")) & (_distance("x", "low") <= MAX_BITS))
-    star = scratch.write(star.select(F.col("id").alias("a"), F.col("low.id").alias("b")).distinct(), "star")
+    buckets = alone.groupBy("s", "v").agg(F.min(F.struct("id", *WORDS)).alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    buckets = scratch.write(buckets, "buckets")
+    star = _star(alone, buckets.select("s", "v", "centre"))
+    crowded = buckets.filter(F.col("n") > CROWD).select("s", "v")
+    if not crowded.isEmpty():
+        members = scratch.write(alone.join(crowded, ["s", "v"]), "members")
+        some = members.withColumn("k", F.row_number().over(W.partitionBy("s", "v").orderBy(F.xxhash64("id"), "id"))).filter(F.col("k") <= CROWD)
+        middle = some.select("s", "v", *WORDS).groupBy("s", "v").applyInArrow(_majority, "s short, v long, f0 long, f1 long, f2 long, f3 long")
+        middle = middle.select("s", "v", F.struct(*WORDS).alias("middle"))
+        near = members.join(middle, ["s", "v"]).select("s", "v", F.struct("id", *WORDS).alias("x"), "middle")
+        near = near.groupBy("s", "v").agg(F.min_by("x", F.struct(_distance("x", "middle"), "x.id")).alias("centre"))
+        star = star.union(_star(members, near))
+    star = scratch.write(_verified(scratch.write(star.distinct(), "candidates"), fps), "star")
     labels = component_labels(fps.sparkSession, star, scratch=scratch)
-    known = scratch.write(fps.join(labels, "id", "left").select("id", *WORDS, F.coalesce("comp", "id").alias("c")), "known")
-    under = _under(known, places, 1, "c", "f3")
-    met = under.alias("x").join(under.alias("y"), ["s", "v"])
-    met = met.filter((F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (_distance("x", "y", ("f3",)) <= MAX_CHECK_BITS))
-    met = scratch.write(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "met").distinct()
+    known = fps.join(labels, "id", "left").select("id", *WORDS, F.coalesce("comp", "id").alias("c"))
+    known = scratch.write(known, "known")
+    sizes = labels.groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("size"))
+    under = _under(scratch.write(known.join(sizes, "c", "left").select("id", *WORDS, "c", F.coalesce("size", F.lit(1)).alias("size")), "sized"), places, 1, "c", "f3", "size")
+    mixed = under.groupBy("s", "v").agg(F.max_by("c", F.struct("size", "c")).alias("top"), F.min("c").alias("low"), F.max("c").alias("high"))
+    mixed = scratch.write(mixed.filter("low <> high").select("s", "v", "top"), "mixed")
+    there = under.select("s", "v", "flip", "id", "c", "f3").join(mixed, ["s", "v"])
+    there = scratch.write(there, "there")
+    met = there.filter("c <> top").alias("x").join(there.alias("y"), ["s", "v"])
+    # Of the values under which a pair meets in a segment, one counts.
+    once = (F.col("x.flip") < F.col("y.flip")) | ((F.col("x.flip") == 0) & (F.col("y.flip") == 0))
+    ordered = (F.col("y.c") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
+    met = met.filter(once & ordered & (F.col("x.c") != F.col("y.c")) & (_distance("x", "y", ("f3",)) <= MAX_CHECK_BITS))
+    met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    met = scratch.write(met, "met").distinct()
     whole = known.select("id", *WORDS)
     pairs = met.join(whole.alias("x"), F.col("a") == F.col("x.id")).join(whole.alias("y"), F.col("b") == F.col("y.id")).filter(_distance("x", "y") <= MAX_BITS)
-    return scratch.write(star.union(pairs.select("a", "b")), "links")
+    return scratch.write(star.union(_verified(pairs.select("a", "b"), fps)), "links")
 
 
 def wide_classes(docs: DataFrame, shingle: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, component_id) of each row of ``docs``."""
     scratch = scratch or Scratch(docs.sparkSession, "wide")
     rows = scratch.write(wide_fingerprints(docs, shingle).withColumn("id", F.xxhash64(*WORDS)), "fps")
-    distinct = scratch.write(rows.groupBy("id", *WORDS).agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = scratch.write(rows.groupBy("id", *WORDS).agg(F.min("doc_id").alias("first"), F.max("sketch").alias("sketch")), "distinct")
     labels = component_labels(docs.sparkSession, wide_links(distinct.drop("first"), scratch), scratch=scratch)
-    classes = distinct.join(labels, "id", "left").select("id", "first", F.coalesce("comp", "id").alias("c"))
+    classes = distinct.select("id", "first").join(labels, "id", "left").select("id", "first", F.coalesce("comp", "id").alias("c"))
     lowest = classes.groupBy("c").agg(F.min("first").alias("component_id"))
-    return rows.join(classes.join(lowest, "c").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return rows.select("id", "doc_id").join(classes.join(lowest, "c").select("id", "component_id"), "id").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:

@@ -159,6 +159,39 @@ def test_wide_simhash_finds_resemblance_08(spark, odd_docs, no_docs):
     assert simhash_wide.keep_first(no_docs).count() == 0
 
 
+def shingles_of(words, n=5):
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def test_wide_classes_hold_only_verified_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash_wide, "CROWD", 8)
+    rng = np.random.default_rng(15)
+    docs = near_copies(rng, 1, 150, 6)  # all near the first one, few near each other
+    docs += near_copies(rng, 30, 2, 13)  # resemblance of about 0.65
+    docs += near_copies(rng, 40, 3, 4)
+    frame = spark.createDataFrame([(i, " ".join(d), "en", "s", 1) for i, d in enumerate(docs)], DOCS)
+    got = dict(map(tuple, simhash_wide.wide_classes(frame).collect()))
+    sets = [shingles_of(d) for d in docs]
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    classes = list(range(len(docs)))
+    for _ in range(len(docs)):
+        for i, j in near:
+            classes[i] = classes[j] = min(classes[i], classes[j])
+    assert all(classes[got[i]] == classes[i] for i in got)
+    assert np.mean([got[i] == classes[i] for i in got]) >= 0.95
+    assert len({got[i] for i in range(150)}) <= 8 and [got[150 + i] for i in range(60)] == list(range(150, 210))
+
+
+def test_resemblance_by_sketches():
+    rng = np.random.default_rng(16)
+    for n, m, k in ((100, 80, 60), (3000, 2500, 2400), (300, 4000, 290), (0, 5, 0), (700, 700, 700)):
+        x = np.unique(rng.integers(0, 1 << 63, n + m - k, dtype=np.uint64) * np.uint64(2))
+        order = rng.permutation(x)
+        a, b = np.sort(order[:n]), np.sort(order[n - k :])
+        got = simhash_wide.resemblance(simhash_wide.sketch_of(a), simhash_wide.sketch_of(b))
+        assert abs(got - k / (n + m - k)) <= (0.08 if max(n, m) >= simhash_wide.SKETCH and n != k else 1e-9)
+
+
 def test_wide_plan_meets_at_every_count():
     rng = np.random.default_rng(11)
     differ = rng.random((20_000, 256)) < simhash_wide.EXPECTED
@@ -177,11 +210,12 @@ def test_wide_links_by_the_plan_of_many(spark, tmp_path, monkeypatch):
     bits = rng.random((300, 256)) < 0.5
     bits = np.concatenate([bits, bits ^ (rng.random((300, 256)) < simhash_wide.EXPECTED)])
     fps = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-    frame = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(fps)], "id long, f0 long, f1 long, f2 long, f3 long")
+    frame = spark.createDataFrame([(i, *map(int, x), b"same") for i, x in enumerate(fps)], "id long, f0 long, f1 long, f2 long, f3 long, sketch binary")
     got = {(min(r), max(r)) for r in simhash_wide.wide_links(frame, Scratch(spark, "many")).collect()}
     masks = np.array([[m >> b & 1 for m in place for b in range(64)] for place in plan[1]])
     differ = bits[:300] ^ bits[300:]
-    want = (differ.astype(int) @ masks.T <= 2).any(axis=1) & (differ.sum(axis=1) <= simhash_wide.MAX_BITS) & (differ[:, 192:].sum(axis=1) <= simhash_wide.MAX_CHECK_BITS)
+    apart = differ.astype(int) @ masks.T
+    want = (differ.sum(axis=1) <= simhash_wide.MAX_BITS) & ((apart == 0).any(axis=1) | (apart <= 2).any(axis=1) & (differ[:, 192:].sum(axis=1) <= simhash_wide.MAX_CHECK_BITS))
     assert got == {(i, i + 300) for i in np.flatnonzero(want).tolist()} and len(got) > 240
 
 
