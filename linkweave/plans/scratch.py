@@ -49,12 +49,12 @@ class Scratch:
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
-    def write_bucketed(self, df: DataFrame, key: str, name: str = "t") -> DataFrame:
-        """Write ``df`` in buckets of a column, so that joins on it don't move these rows again."""
+    def write_bucketed(self, df: DataFrame, keys: list[str], name: str = "t") -> DataFrame:
+        """Write ``df`` in buckets of some columns, so that joins on them don't move these rows again."""
         self.count += 1
         path, own = f"{self.root}/{self.count:03d}-{name}", f"{name}_{uuid.uuid4().hex}"
         buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(own)
+        df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(own)
         self.tables.append(own)
         out = self.spark.table(own)
         out._scratch_path = path  # type: ignore[attr-defined]
