@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import table
+from linkweave.llm.common import table, tidy
 
 LONG_WORD = 256
 BLOCK_CHARS = 1_000_000
@@ -252,7 +252,7 @@ def encode_column(df: DataFrame, keep: list[str], path: str | None = None, patte
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), *([] if digests else ["ids binary"]), "n_tokens long, ids_sha256 string, decoded_sha256 string"])
-    return df.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col("text").alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import n_words, table
+from linkweave.llm.common import n_words, table, tidy
 from linkweave.plans.scratch import Scratch
 
 MIN_WORDS = 5
@@ -68,7 +68,7 @@ def ranked(df: DataFrame, keys: list[str], ties: list[str], scratch: Scratch) ->
     rows = df.select(*[F.col(c).cast("long").alias(c) for c in names])
     rows = rows.repartitionByRange(*keys, *ties).sortWithinPartitions(*keys, *ties)
     schema = ", ".join([*(f"`{c}` long" for c in names), "__local long, __new boolean, __pid int"])
-    rows = scratch.write(rows.mapInArrow(_local_ranks(len(keys), names), schema), "ranked")
+    rows = scratch.write(rows.mapInArrow(tidy(_local_ranks(len(keys), names)), schema), "ranked")
     key = F.struct(*keys)
     parts = rows.groupBy("__pid").agg((F.max("__local") + 1).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).orderBy("__pid").collect()
     offsets, total, before = [], 0, None
@@ -145,7 +145,7 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     schema = ", ".join([*(f"{c} long" for c in names[:-1]), "more boolean"])
     windows, k = None, 0
     while True:
-        pairs = scratch.write(rows.mapInArrow(_pairs(k, min_words, names), schema), "pairs")
+        pairs = scratch.write(rows.mapInArrow(tidy(_pairs(k, min_words, names)), schema), "pairs")
         own = pairs.filter("size > 0").select(*DOC, "at", "size", "a", "b")
         windows = own if windows is None else windows.unionByName(own)
         todo = pairs.filter("size = 0 AND more")

@@ -50,7 +50,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import table
+from linkweave.llm.common import release, table, tidy, without
 from linkweave.plans.scratch import Scratch
 
 #: Occurrences in a language's training text from which a word is a unit of its own.
@@ -61,9 +61,10 @@ QUANTILE = 0.995
 #: Tokens with a language's median that are added to each document, and held out documents that a language needs for a quantile of its own.
 PRIOR = 20
 LEAST_HELD = 200
-#: Tokens in a block, distinct words that a task counts at once, and tokens of a language for each of its shards.
-BLOCK = 4_000_000
-WORDS = 400_000
+#: Tokens in a block, distinct words that a task counts at once, tokens looked at together, and tokens of a language for each of its shards.
+BLOCK = 3_000_000
+WORDS = 200_000
+PIECE = 500_000
 SHARD = 4_000_000
 #: Log probabilities are handed over as whole multiples of this.
 STEP = 1 / 16
@@ -160,8 +161,14 @@ def unpack_sorted(x: bytes) -> np.ndarray:
 
 def _distinct(x: np.ndarray) -> np.ndarray:
     """Distinct values, sorted."""
-    x = np.sort(x)
-    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+    return _distinct_in_place(x.copy())
+
+
+def _distinct_in_place(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 def _split_by(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -303,6 +310,23 @@ def trigrams(ids: np.ndarray) -> np.ndarray:
 
 def block_trigrams(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Packed trigrams of all documents in order: one more for each than it has words."""
+    out, at = np.empty(len(ids) + len(sizes), dtype=np.int64), 0
+    for begin, n in _pieces(sizes):
+        first = int(sizes[:begin].sum())
+        part = _trigrams(ids[first : first + int(sizes[begin : begin + n].sum())], sizes[begin : begin + n])
+        out[at : at + len(part)] = part
+        at += len(part)
+    return out
+
+
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of documents (first, number) with about ``PIECE`` tokens, so that large arrays of a block are few."""
+    of = np.cumsum(sizes) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(sizes)]
+    return ((a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a)
+
+
+def _trigrams(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     x = np.full(len(ids) + 3 * len(sizes), START, dtype=np.int64)
     ends = np.cumsum(sizes + 3) - 1
     place = np.arange(len(ids)) + 2 + 3 * np.repeat(np.arange(len(sizes)), sizes)
@@ -326,7 +350,7 @@ def shard_of(keys: np.ndarray, shards: int, split: dict[int, int] | None = None)
         at, there = _at(words, b)
         parts = np.where(there, np.array([split[w] for w in words.tolist()])[at], 1)
         mixed = mixed + ((keys >> BITS & MASK) * 0x85EBCA6B >> 9) % parts * 0xC2B2AE35
-    return (mixed >> 7) % shards
+    return ((mixed >> 7) % shards).astype(np.int32)
 
 
 def _dealt(shards: dict[str, int], split: dict[str, dict[int, int]], train: bool):
@@ -344,7 +368,7 @@ def _dealt(shards: dict[str, int], split: dict[str, dict[int, int]], train: bool
                     wanted = np.unpackbits(np.frombuffer(good.as_py(), dtype=np.uint8), count=len(sizes.values)).astype(bool)
                     keys, n = np.unique(keys[np.repeat(wanted, np.array(sizes.values, dtype=np.int64) + 1)], return_counts=True)
                 else:
-                    keys = _distinct(keys)
+                    keys = _distinct_in_place(keys)
                 for i, here in _split_by(shard_of(keys, shards[own], split.get(own))):
                     yield _row([own, i, block.as_py(), pack_keys(keys[here]), pack(n[here].astype(np.int32)) if train else None], kinds, names)
 
@@ -401,7 +425,8 @@ def _statistics_summed(group: pa.Table) -> pa.Table:
     """The statistics of several shards of a language, added up."""
     last, n1 = _summed_up([unpack_sorted(x.as_py()) for x in group["last"]], [unpack(x.as_py(), np.int32) for x in group["last_n"]])
     few = {c: np.sum([x.as_py() for x in group[c] if x.is_valid] or [[0] * 4], axis=0).tolist() for c in ("few3", "few2")}
-    return _model_table(lang=group["lang"][0].as_py(), shard=0, block=-1, last=pack_sorted(last), last_n=pack(n1.astype(np.int32)), **few)
+    out = _model_table(lang=group["lang"][0].as_py(), shard=0, last=pack_sorted(last), last_n=pack(n1.astype(np.int32)), **few)
+    return out.select(["lang", "shard", "few3", "few2", "last", "last_n"])
 
 
 def _split_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,18 +502,19 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray, single: tuple[np.ndarray,
 def _answers(model):
     """Rows (block, shard, logs) of a shard, one for each block that asks."""
 
-    def run(group: pa.Table) -> pa.Table:
-        lang, shard = group["lang"][0].as_py(), group["shard"][0].as_py()
-        single, d2, d3 = model.value[lang]
-        block = group["block"].to_numpy()
-        keys, n, whole = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), None
-        for i in np.flatnonzero(block == -1).tolist():
-            keys, n = unpack_keys(group["keys"][i].as_py()), unpack(group["n"][i].as_py(), np.int64)
-        if (split := np.flatnonzero(block == -2)).size:
-            whole = _summed_up([unpack_keys(group["keys"][i].as_py()) for i in split.tolist()], [unpack(group["n"][i].as_py(), np.int32) for i in split.tolist()])
-        of = log_probabilities(keys, n, single, d2, d3, whole)
-        rows = [(int(block[i]), pack(np.rint(of(unpack_keys(group["keys"][i].as_py())) / STEP).astype(np.int16))) for i in np.flatnonzero(block >= 0).tolist()]
-        return pa.table([pa.array([x for x, _ in rows], pa.int64()), pa.array([shard] * len(rows), pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "shard", "logs"])
+    def run(own: pa.Table, group: pa.Table) -> pa.Table:
+        release()
+        rows = []
+        if group.num_rows:
+            lang, block = group["lang"][0].as_py(), group["block"].to_numpy()
+            keys, n, whole = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), None
+            if own.num_rows:
+                keys, n = unpack_keys(own["keys"][0].as_py()), unpack(own["n"][0].as_py(), np.int64)
+            if (split := np.flatnonzero(block < 0)).size:
+                whole = _summed_up([unpack_keys(group["keys"][i].as_py()) for i in split.tolist()], [unpack(group["n"][i].as_py(), np.int32) for i in split.tolist()])
+            of, shard = log_probabilities(keys, n, *model.value[lang], whole), group["shard"][0].as_py()
+            rows = [(int(block[i]), shard, pack(np.rint(of(unpack_keys(group["keys"][i].as_py())) / STEP).astype(np.int16))) for i in np.flatnonzero(block >= 0).tolist()]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["block", "shard", "logs"])
 
     return run
 
@@ -500,11 +526,20 @@ def _perplexities(shards: dict[str, int], split: dict[str, dict[int, int]]):
                 own, n = lang.as_py(), np.array(sizes.values, dtype=np.int64)
                 mean = pa.nulls(len(n), pa.float64())
                 if own in shards:
-                    keys, at = np.unique(block_trigrams(unpack(codes.as_py(), np.int32), n), return_inverse=True)
-                    logs = np.empty(len(keys))
+                    x = unpack(codes.as_py(), np.int32)
+                    keys = _distinct_in_place(block_trigrams(x, n))
+                    logs = np.empty(len(keys), dtype=np.float32)
                     each = sorted((x["shard"], x["logs"]) for x in answers.as_py())
                     logs[np.argsort(shard_of(keys, shards[own], split.get(own)), kind="stable")] = np.concatenate([unpack(x, np.int16) for _, x in each]) * STEP
-                    mean = pa.array(-np.add.reduceat(logs[at], np.cumsum(n + 1) - n - 1) / (n + 1))
+                    total, ends = [], np.cumsum(n)
+                    for begin, many in _pieces(n):
+                        own_n = n[begin : begin + many]
+                        part = _trigrams(x[ends[begin] - n[begin] : ends[begin + many - 1]], own_n)
+                        order = np.argsort(part)
+                        own_logs = np.empty(len(part))
+                        own_logs[order] = logs[np.searchsorted(keys, part[order])]
+                        total.append(np.add.reduceat(own_logs, np.cumsum(own_n + 1) - own_n - 1))
+                    mean = pa.array(-np.concatenate(total) / (n + 1))
                 yield pa.RecordBatch.from_arrays([ids.values, pa.array([own] * len(n), pa.string()), pa.array(n), mean], names=["doc_id", "lang", "n_tokens", "surprise"])
 
     return run
@@ -543,14 +578,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
 
     languages = rows.select("lang").distinct().count()
     codes = codes_for(languages)
-    counted = rows.mapInArrow(_word_counts(trusted, codes), "lang string, part int, codes binary, n binary").groupBy("lang", "part").applyInArrow(_words_summed(least), "lang string, codes binary, n binary")
+    counted = rows.mapInArrow(tidy(_word_counts(trusted, codes)), "lang string, part int, codes binary, n binary").groupBy("lang", "part").applyInArrow(_words_summed(least), "lang string, codes binary, n binary")
     words: dict[str, list] = {}
     for lang, own, n in counted.collect():
         words.setdefault(lang, []).append((unpack_sorted(own), unpack(n, np.int64)))
     vocabulary = share({lang: Vocabulary(*map(np.concatenate, zip(*x, strict=True))) for lang, x in words.items()})
     del words
 
-    blocks = scratch.write_bucketed(rows.mapInArrow(_coding(trusted, vocabulary, codes), BLOCK_COLUMNS), "block", "blocks")
+    blocks = scratch.write_bucketed(rows.mapInArrow(tidy(_coding(trusted, vocabulary, codes)), BLOCK_COLUMNS), ["block"], "blocks")
     tokens = dict(blocks.filter(F.col("lang").isin(list(vocabulary.value))).groupBy("lang").agg(F.sum("tokens")).collect()) if vocabulary.value else {}
     shards = {lang: max(1, -(-n // SHARD)) for lang, n in tokens.items()}
     often = blocks.select("lang", F.explode(F.arrays_zip("often", "often_n")).alias("x")).groupBy("lang", "x.often").agg(F.sum("x.often_n").alias("n")).filter(F.col("n") > SHARD)
@@ -559,25 +594,26 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
         split.setdefault(lang, {})[word] = -(-n // SHARD)
 
     packed = "lang string, shard int, block long, keys binary, n binary"
-    dealt = lambda train: blocks.select("block", "lang", "sizes", "train", "codes").mapInArrow(_dealt(shards, split, train), packed)
-    model = scratch.write(dealt(True).groupBy("lang", "shard").applyInArrow(_summed(split), MODEL), "model")
+    dealt = lambda train: blocks.select("block", "lang", "sizes", "train", "codes").mapInArrow(tidy(_dealt(shards, split, train)), packed)
+    model = scratch.write_bucketed(dealt(True).groupBy("lang", "shard").applyInArrow(_summed(split), MODEL), ["lang", "shard"], "model")
     if split:
         apart = model.filter("pairs IS NOT NULL").select("lang", "pairs", "pairs_n").mapInArrow(_split_dealt, "lang string, shard int, pairs binary, pairs_n binary")
         apart = scratch.write(apart.groupBy("lang", "shard").applyInArrow(_split_summed, MODEL), "split")
-    each = model.unionByName(apart) if split else model
+    statistics = "lang string, shard int, few3 array<long>, few2 array<long>, last binary, last_n binary"
+    each = (model.unionByName(apart) if split else model).select(*[c.split()[0] for c in statistics.split(", ")])
     for key in ([F.col("lang"), F.pmod("shard", F.lit(64)).alias("some")], [F.col("lang")]):  # in two steps, as there may be many shards
-        each = each.groupBy(*key).applyInArrow(_statistics_summed, MODEL)
+        each = each.groupBy(*key).applyInArrow(_statistics_summed, statistics)
     given = share({lang: (single_words(unpack_sorted(last), unpack(n1, np.int32)), discounts_of(few2), discounts_of(few3)) for lang, few3, few2, last, n1 in each.select("lang", "few3", "few2", "last", "last_n").collect()})
 
-    asked = dealt(False).unionByName(model.select("lang", "shard", "block", "keys", "n"))
+    asked = dealt(False)
     if split:
         places = spark.createDataFrame([(lang, word, i) for lang, x in split.items() for word, k in x.items() for i in _places(word, k, shards[lang])], "lang string, word int, at int")
         whole = apart.select("lang", F.col("shard").alias("word"), F.col("pairs").alias("keys"), F.col("pairs_n").alias("n")).join(places, ["lang", "word"])
         asked = asked.unionByName(whole.select("lang", F.col("at").alias("shard"), F.lit(-2).cast("long").alias("block"), "keys", "n"))
-    answers = asked.groupBy("lang", "shard").applyInArrow(_answers(given), "block long, shard int, logs binary")
+    answers = model.select("lang", "shard", "keys", "n").groupBy("lang", "shard").cogroup(asked.groupBy("lang", "shard")).applyInArrow(_answers(given), "block long, shard int, logs binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("shard", "logs")).alias("answers"))
     scored = blocks.select("block", "lang", "ids", "sizes", "codes").join(answers, "block", "left")
-    scored = scratch.write(scored.select("lang", "ids", "sizes", "codes", "answers").mapInArrow(_perplexities(shards, split), "doc_id long, lang string, n_tokens long, surprise double"), "scored")
+    scored = scratch.write(scored.select("lang", "ids", "sizes", "codes", "answers").mapInArrow(tidy(_perplexities(shards, split)), "doc_id long, lang string, n_tokens long, surprise double"), "scored")
     scratch.drop(blocks)
     scratch.drop(model)
     return _judged(scored, good, quantile, scratch, F.broadcast if languages <= FEW_LANGUAGES else lambda df: df)
@@ -609,9 +645,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 
     Rows with a null id are kept: a rejection couldn't name them.
     """
-    bad = score_quality(docs, labels, quantile).filter("NOT kept").select(F.col("doc_id").alias("__bad")).distinct()
-    bad = Scratch(docs.sparkSession, "rejected").write(bad, "ids")
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["__bad"], "left_anti").select(*docs.columns)
+    bad = score_quality(docs, labels, quantile).filter("NOT kept").select("doc_id").distinct()
+    return without(docs, Scratch(docs.sparkSession, "rejected").write(bad, "ids"))
 
 
 def op1_query(spark: SparkSession, sf_dir: str) -> DataFrame:

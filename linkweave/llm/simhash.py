@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import table
+from linkweave.llm.common import table, tidy
 from linkweave.operators.components import component_labels
 from linkweave.plans.scratch import Scratch
 
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def plan_segments(max_bits: int, count: int) -> list[tuple[int, int, int]]:

@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from linkweave.llm.common import tidy, without
 from linkweave.llm.simhash import BLOCK, SEED, _signed, ball
 from linkweave.operators.components import component_labels
 from linkweave.plans.scratch import Scratch
@@ -121,7 +122,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(fps[:, i].copy()) for i in range(4)), pa.array(map(sketch_of, own), pa.binary())], names=["doc_id", *WORDS, "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, f0 long, f1 long, f2 long, f3 long, sketch binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, f0 long, f1 long, f2 long, f3 long, sketch binary")
 
 
 def _round(bits: int, number: int) -> list[list[int]]:
@@ -216,7 +217,7 @@ def _resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     """The pairs whose texts resemble each other enough."""
     x, y = (fps.select(F.col("id").alias(c), F.col("sketch").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_resembling, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(_resembling), "a long, b long")
 
 
 def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -275,5 +276,4 @@ def keep_first(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "wide")
     gone = wide_classes(docs, shingle, scratch).filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = scratch.write(gone.withColumnRenamed("doc_id", "__gone"), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti").select(*docs.columns)
+    return without(docs, scratch.write(gone, "gone"))
