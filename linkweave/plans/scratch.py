@@ -11,6 +11,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,21 +41,35 @@ class Scratch:
         self.tables: list[str] = []
         atexit.register(self.clear)
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` and return the written table."""
+    @contextlib.contextmanager
+    def _batches(self, rows: int | None) -> Iterator[None]:
+        """Meanwhile Arrow batches hold so many rows at most: long texts need few."""
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(key)
+        if rows is not None:
+            self.spark.conf.set(key, str(rows))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(key, before)
+
+    def write(self, df: DataFrame, name: str = "t", batch: int | None = None) -> DataFrame:
+        """Write ``df`` and return the written table; ``batch`` bounds the rows of an Arrow batch."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        with self._batches(batch):
+            df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
-    def write_bucketed(self, df: DataFrame, keys: list[str], name: str = "t") -> DataFrame:
+    def write_bucketed(self, df: DataFrame, keys: list[str], name: str = "t", batch: int | None = None) -> DataFrame:
         """Write ``df`` in buckets of some columns, so that joins on them don't move these rows again."""
         self.count += 1
         path, own = f"{self.root}/{self.count:03d}-{name}", f"{name}_{uuid.uuid4().hex}"
         buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(own)
+        with self._batches(batch):
+            df.write.format("parquet").bucketBy(buckets, *keys).option("path", path).saveAsTable(own)
         self.tables.append(own)
         out = self.spark.table(own)
         out._scratch_path = path  # type: ignore[attr-defined]
