@@ -21,8 +21,10 @@ and a line that is a third of the corpus is no heavier than any other.
 Defined cases: a null text stays null, an empty one stays empty; blank lines
 neither match nor break a run and are kept; a row that repeats another's id and
 text is the same document and gets the same text; documents are ordered by id,
-null ids last, then by a hash of the text.  All columns of the input return;
-n_chars, where there is one, is set to the new length.
+null ids last, then by a hash of the text, so that there are no ties; texts of
+any length are read whole; an empty table gives no rows.  All columns of the
+input return, whatever their names; n_chars, where there is one, is set to the
+new length.
 """
 
 from __future__ import annotations
@@ -30,10 +32,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.llm.common import n_words, table, tidy
@@ -162,18 +163,20 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch
     return gone.groupBy(*DOC).agg(F.sort_array(F.collect_list("n")).alias("gone"))
 
 
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def one(t, g):
-        if t is None or g is None:
-            return t
-        drop = set(g)
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in drop)
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    return pd.Series([one(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+
+def _without(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers, in ascending order: what stands between them."""
+    whole = lambda lines: _let(F.concat(F.array(F.lit(-1)), gone.cast("array<int>"), F.array(F.size(lines))), lambda g: between(lines, g))
+    between = lambda lines, g: F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 2), lambda i: F.slice(lines, F.get(g, i) + 2, F.get(g, i + 1) - F.get(g, i) - 1)))
+    return F.array_join(_let(F.split(text, "\n", -1), whole), "\n")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
-    """``docs`` without later copies; with ``report`` also n_lines and gone (line numbers)."""
+    """``docs`` without later copies; with ``report`` also n_lines and gone (line numbers), instead of such columns of ``docs``."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = scratch.write(repeated_lines(docs, min_words, scratch), "gone")
     gone = gone.select(F.when(F.col("no_id") == 0, F.col("id")).alias("__id"), F.col("hash").alias("__hash"), F.col("gone").alias("__gone"))
@@ -181,13 +184,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, report: bool = Fals
     of = lambda c: F.col("__doc").getField(c)
     match = of("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(of("text")) == F.col("__hash"))
     cut = F.col("__gone").isNotNull()
-    text = F.when(cut, F.pandas_udf(_without, "string")(of("text"), "__gone")).otherwise(of("text"))
+    text = F.when(cut, _without(of("text"), F.col("__gone"))).otherwise(of("text"))
     out = packed.join(gone, match, "left").select("__doc", "__gone", text.alias("__text"))
     new = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(cut, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(of("n_chars"))
     more = [F.size(F.split(of("text"), "\n", -1)).alias("n_lines"), F.col("__gone").alias("gone")] if report else []
-    return out.select(*[new.get(c, of(c)).alias(c) for c in docs.columns], *more)
+    return out.select(*[new.get(c, of(c)).alias(c) for c in docs.columns if not (report and c in ("n_lines", "gone"))], *more)
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
