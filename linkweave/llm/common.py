@@ -46,6 +46,8 @@ def release() -> None:
         trim(0)
 
 
+#: Rows of an Arrow batch where texts go to Python.
+TEXT_ROWS = 500
 #: Ids up to which a table of them is broadcast (about 100 bytes each in memory).
 FEW_IDS = 500_000
 

@@ -26,7 +26,8 @@ limit is the ``QUANTILE`` of their log perplexities, each one drawn towards the
 language's median as if it had ``PRIOR`` further tokens with that value, so that
 a text of few words has to be stranger to be rejected.  A language with fewer
 than ``LEAST_HELD`` such documents takes the deviations from the median of all
-languages' documents together.
+languages' documents together; where these are fewer too, the limit lies at
+least three times as far from the median as their 0.84 quantile.
 
 Defined cases: a null text is empty; an empty text is scored by its end alone;
 texts of any length are scored whole; a null language is a language of its own,
@@ -50,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import release, table, tidy, without
+from linkweave.llm.common import TEXT_ROWS, release, table, tidy, without
 from linkweave.plans.scratch import Scratch
 
 #: Occurrences in a language's training text from which a word is a unit of its own.
@@ -580,12 +581,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     codes = codes_for(languages)
     counted = rows.mapInArrow(tidy(_word_counts(trusted, codes)), "lang string, part int, codes binary, n binary").groupBy("lang", "part").applyInArrow(_words_summed(least), "lang string, codes binary, n binary")
     words: dict[str, list] = {}
-    for lang, own, n in counted.collect():
+    for lang, own, n in scratch.write(counted, "words", TEXT_ROWS).collect():
         words.setdefault(lang, []).append((unpack_sorted(own), unpack(n, np.int64)))
     vocabulary = share({lang: Vocabulary(*map(np.concatenate, zip(*x, strict=True))) for lang, x in words.items()})
     del words
 
-    blocks = scratch.write_bucketed(rows.mapInArrow(tidy(_coding(trusted, vocabulary, codes)), BLOCK_COLUMNS), ["block"], "blocks")
+    blocks = scratch.write_bucketed(rows.mapInArrow(tidy(_coding(trusted, vocabulary, codes)), BLOCK_COLUMNS), ["block"], "blocks", TEXT_ROWS)
     tokens = dict(blocks.filter(F.col("lang").isin(list(vocabulary.value))).groupBy("lang").agg(F.sum("tokens")).collect()) if vocabulary.value else {}
     shards = {lang: max(1, -(-n // SHARD)) for lang, n in tokens.items()}
     often = blocks.select("lang", F.explode(F.arrays_zip("often", "often_n")).alias("x")).groupBy("lang", "x.often").agg(F.sum("x.often_n").alias("n")).filter(F.col("n") > SHARD)
@@ -631,7 +632,9 @@ def _judged(scored: DataFrame, good: DataFrame, quantile: float, scratch: Scratc
     drawn = (F.col("surprise") - F.col("middle")) * (F.col("n_tokens") + 1) / (F.col("n_tokens") + 1 + PRIOR)
     off = scratch.write(held.join(small(middle), "lang").select("lang", drawn.alias("off")), "off")
     top = lambda: F.percentile_approx("off", quantile, 100_000)
-    together = off.agg(top()).first()[0]
+    together, sigma, n = off.agg(top(), F.percentile_approx("off", 0.84, 100_000), F.count("*")).first()
+    if 0 < n < LEAST_HELD:  # the largest of few is too small
+        together = max(together, 3 * sigma)
     own = off.groupBy("lang").agg(top().alias("own")).join(middle, "lang")
     limits = own.select("lang", "middle", F.when(F.col("n") >= LEAST_HELD, F.col("own")).otherwise(F.lit(together)).alias("off"))
     limit = F.col("middle") + F.col("off") * (F.col("n_tokens") + 1 + PRIOR) / (F.col("n_tokens") + 1)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import table, tidy
+from linkweave.llm.common import TEXT_ROWS, table, tidy
 from linkweave.operators.components import component_labels
 from linkweave.plans.scratch import Scratch
 
@@ -170,7 +170,7 @@ def near_duplicate_classes(docs: DataFrame, max_bits: int = 4, shingle: int = 4,
     """(doc_id, fp, component_id) of each row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    rows = scratch.write(fingerprints(docs, shingle), "fps")
+    rows = scratch.write(fingerprints(docs, shingle), "fps", TEXT_ROWS)
     distinct = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     links = fingerprint_links(distinct.select("fp"), scratch, max_bits, dense)
     labels = component_labels(spark, links, scratch=scratch)

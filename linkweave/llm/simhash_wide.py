@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import tidy, without
+from linkweave.llm.common import TEXT_ROWS, tidy, without
 from linkweave.llm.simhash import BLOCK, SEED, _signed, ball
 from linkweave.operators.components import component_labels
 from linkweave.plans.scratch import Scratch
@@ -224,8 +224,9 @@ def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) links among distinct fingerprints (id, f0..f3, sketch)."""
     places = plan_wide(fps.count())[1]
     alone = _under(fps, places, 0, *WORDS)
-    buckets = alone.groupBy("s", "v").agg(F.min(F.struct("id", *WORDS)).alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    buckets = scratch.write(buckets, "buckets")
+    low = [F.min_by(w, "id").alias(w) for w in WORDS]
+    buckets = alone.groupBy("s", "v").agg(F.min("id").alias("id"), *low, F.count("*").alias("n")).filter("n > 1")
+    buckets = scratch.write(buckets.select("s", "v", "n", F.struct("id", *WORDS).alias("centre")), "buckets")
     star = _star(alone, buckets.select("s", "v", "centre"))
     crowded = buckets.filter(F.col("n") > CROWD).select("s", "v")
     if not crowded.isEmpty():
@@ -242,7 +243,7 @@ def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     known = scratch.write(known, "known")
     sizes = labels.groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("size"))
     under = _under(scratch.write(known.join(sizes, "c", "left").select("id", *WORDS, "c", F.coalesce("size", F.lit(1)).alias("size")), "sized"), places, 1, "c", "f3", "size")
-    mixed = under.groupBy("s", "v").agg(F.max_by("c", F.struct("size", "c")).alias("top"), F.min("c").alias("low"), F.max("c").alias("high"))
+    mixed = under.groupBy("s", "v").agg(F.max_by("c", "size").alias("top"), F.min("c").alias("low"), F.max("c").alias("high"))
     mixed = scratch.write(mixed.filter("low <> high").select("s", "v", "top"), "mixed")
     there = under.select("s", "v", "flip", "id", "c", "f3").join(mixed, ["s", "v"])
     there = scratch.write(there, "there")
@@ -261,7 +262,7 @@ def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
 def wide_classes(docs: DataFrame, shingle: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, component_id) of each row of ``docs``."""
     scratch = scratch or Scratch(docs.sparkSession, "wide")
-    rows = scratch.write(wide_fingerprints(docs, shingle).withColumn("id", F.xxhash64(*WORDS)), "fps")
+    rows = scratch.write(wide_fingerprints(docs, shingle).withColumn("id", F.xxhash64(*WORDS)), "fps", TEXT_ROWS)
     distinct = scratch.write(rows.groupBy("id", *WORDS).agg(F.min("doc_id").alias("first"), F.max("sketch").alias("sketch")), "distinct")
     labels = component_labels(docs.sparkSession, wide_links(distinct.drop("first"), scratch), scratch=scratch)
     classes = distinct.select("id", "first").join(labels, "id", "left").select("id", "first", F.coalesce("comp", "id").alias("c"))
