@@ -66,7 +66,7 @@ LEAST_HELD = 200
 BLOCK = 3_000_000
 WORDS = 200_000
 PIECE = 500_000
-SHARD = 4_000_000
+SHARD = 8_000_000
 #: Log probabilities are handed over as whole multiples of this.
 STEP = 1 / 16
 #: Codes of all languages together: 12 bytes each.
@@ -114,7 +114,7 @@ def pack(x: np.ndarray) -> bytes:
     """Whole numbers as compressed planes of bytes."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes())
 
 
 def unpack(x: bytes, kind: type) -> np.ndarray:

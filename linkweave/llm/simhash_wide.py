@@ -17,12 +17,13 @@ union.
 Dense groups: equal fingerprints are one.  The members of each bucket are first
 linked with one member, those of a crowded bucket also with the member nearest
 to the majority of a sample's bits, which is the common original where there is
-one.  Then only members of different components meet: those outside a bucket's
-largest component with the others, so that a group costs nothing once it is
-connected, and each pair once for each segment that it meets in.
+one.  Then only members of different components meet, each pair once for each
+segment that it meets in.  Members of one component of more than ``GIANT``
+fingerprints don't even come together, so that a group costs nothing once it is
+connected.
 
-Near copies that are linked with no original, none with each other, are compared
-pairwise within their buckets.
+Near copies below the resemblance, linked with no original and not with each
+other, are compared with their group's members within their buckets.
 
 Defined cases: a text without words, a null one included, has fingerprint zero
 and no shingles; one with fewer words than a shingle has one shingle; texts of
@@ -44,19 +45,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import TEXT_ROWS, tidy, without
+from linkweave.llm.common import FEW_IDS, TEXT_ROWS, tidy, without
 from linkweave.llm.simhash import BLOCK, SEED, _signed, ball
 from linkweave.operators.components import component_labels
 from linkweave.plans.scratch import Scratch
 
 WORDS = ("f0", "f1", "f2", "f3")
-#: Share of differing bits at resemblance 0.8, the chance that such a pair has to meet, and the bounds for candidates: 2.7 and 3.4 standard deviations above.
+#: Share of differing bits at resemblance 0.8, the chance that such a pair has to meet, and the bounds for candidates: 1.7 and 2.4 standard deviations above.
 EXPECTED, RECALL = 0.156, 0.95
-MAX_BITS = 56
-MAX_CHECK_BITS = 20
+MAX_BITS = 50
+MAX_CHECK_BITS = 17
 RESEMBLANCE = 0.8
 #: Hashes of a text that are kept to verify its resemblance to others (4 bytes each).
 SKETCH = 512
+#: Fingerprints from which a component is so large that its members don't meet each other again.
+GIANT = 64
 #: Members from which a bucket is crowded; so many of them give its majority bits.
 CROWD = 64
 #: Fixed odd multipliers that derive the further hashes from the first.
@@ -215,11 +218,22 @@ def _resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, fps: DataFrame) -> DataFrame:
-    """The pairs whose texts resemble each other enough."""
+    """The pairs whose texts resemble each other enough; sketches of few documents are picked before they move."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    if ids.count() <= FEW_IDS:
+        fps = fps.join(F.broadcast(ids), "id", "left_semi")
     x, y = (fps.select(F.col("id").alias(c), F.col("sketch").alias(n)) for c, n in (("a", "x"), ("b", "y")))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(_resembling), "a long, b long")
 
 
+def _met(some: DataFrame, others: DataFrame, ordered: F.Column) -> DataFrame:
+    """Pairs (a, b) of rows of ``_under`` in different components that meet, once for each segment that they meet in."""
+    once = (F.col("x.flip") < F.col("y.flip")) | ((F.col("x.flip") == 0) & (F.col("y.flip") == 0))
+    met = some.alias("x").join(others.alias("y"), ["s", "v"])
+    met = met.filter(once & ordered & (F.col("x.c") != F.col("y.c")) & (_distance("x", "y", ("f3",)) <= MAX_CHECK_BITS))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
 def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) links among distinct fingerprints (id, f0..f3, sketch)."""
     places = plan_wide(fps.count())[1]
@@ -241,22 +255,24 @@ def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     labels = component_labels(fps.sparkSession, star, scratch=scratch)
     known = fps.join(labels, "id", "left").select("id", *WORDS, F.coalesce("comp", "id").alias("c"))
     known = scratch.write(known, "known")
-    sizes = labels.groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("size"))
-    under = _under(scratch.write(known.join(sizes, "c", "left").select("id", *WORDS, "c", F.coalesce("size", F.lit(1)).alias("size")), "sized"), places, 1, "c", "f3", "size")
-    mixed = under.groupBy("s", "v").agg(F.max_by("c", "size").alias("top"), F.min("c").alias("low"), F.max("c").alias("high"))
-    mixed = scratch.write(mixed.filter("low <> high").select("s", "v", "top"), "mixed")
-    there = under.select("s", "v", "flip", "id", "c", "f3").join(mixed, ["s", "v"])
-    there = scratch.write(there, "there")
-    met = there.filter("c <> top").alias("x").join(there.alias("y"), ["s", "v"])
-    # Of the values under which a pair meets in a segment, one counts.
-    once = (F.col("x.flip") < F.col("y.flip")) | ((F.col("x.flip") == 0) & (F.col("y.flip") == 0))
-    ordered = (F.col("y.c") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
-    met = met.filter(once & ordered & (F.col("x.c") != F.col("y.c")) & (_distance("x", "y", ("f3",)) <= MAX_CHECK_BITS))
-    met = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    sizes = labels.groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("size")).filter(F.col("size") > GIANT)
+    giants = scratch.write(sizes.select("c"), "giants")
+    few, many = known.join(giants, "c", "left_anti"), known.join(giants, "c", "left_semi")
+    under = lambda df: _under(df, places, 1, "c", "f3")
+    met = _met(under(few), under(few), F.col("x.id") < F.col("y.id"))
+    if not giants.isEmpty():
+        met = met.union(_met(under(few), under(many), F.lit(True)))
+    if giants.count() > 1:
+        # Of several giants in a bucket, the members outside the one with the largest name meet the others.
+        there = under(many)
+        top = there.groupBy("s", "v").agg(F.max("c").alias("top"), F.min("c").alias("low")).filter("low <> top").select("s", "v", "top")
+        there = scratch.write(there.join(top, ["s", "v"]), "there")
+        met = met.union(_met(there.filter("c <> top"), there, (F.col("y.c") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))))
     met = scratch.write(met, "met").distinct()
     whole = known.select("id", *WORDS)
     pairs = met.join(whole.alias("x"), F.col("a") == F.col("x.id")).join(whole.alias("y"), F.col("b") == F.col("y.id")).filter(_distance("x", "y") <= MAX_BITS)
-    return scratch.write(star.union(_verified(pairs.select("a", "b"), fps)), "links")
+    near = scratch.write(pairs.select("a", "b"), "near")
+    return scratch.write(star.union(_verified(near, fps)), "links")
 
 
 def wide_classes(docs: DataFrame, shingle: int = 5, scratch: Scratch | None = None) -> DataFrame:

@@ -163,8 +163,10 @@ def shingles_of(words, n=5):
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
-def test_wide_classes_hold_only_verified_links(spark, monkeypatch):
+@pytest.mark.parametrize("giant", [simhash_wide.GIANT, 1])
+def test_wide_classes_hold_only_verified_links(spark, monkeypatch, giant):
     monkeypatch.setattr(simhash_wide, "CROWD", 8)
+    monkeypatch.setattr(simhash_wide, "GIANT", giant)
     rng = np.random.default_rng(15)
     docs = near_copies(rng, 1, 150, 6)  # all near the first one, few near each other
     docs += near_copies(rng, 30, 2, 13)  # resemblance of about 0.65
