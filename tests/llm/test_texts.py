@@ -62,6 +62,56 @@ def test_licences_wrapped_over_lines(spark):
     assert got[5][0] == 0
 
 
+def test_licence_keywords_lose_nothing():
+    for text in (t for ts in licences.TEMPLATES.values() for t in ts):
+        grams = licences.ngrams_of(text)
+        bare = [g for g in grams if not any(k in g if len(k) >= licences.SHORT else k in g.split() for k in licences.keywords())]
+        assert len(bare) < licences.CONTAINED * len(grams), text
+
+
+def test_licences_against_brute_force(spark):
+    """The whole scan from its definition, in Python."""
+    classes, features, w, b, heat = licences.train()
+    at = {g: i for i, g in enumerate(features)}
+    texts = [f"{x}\n\n{y}" for x in licences.OTHERS[:4] for y in licences.COUNTER[:3]]
+    texts += ["Licensed under the Eclipse Public License, version 2.0.", "Licensed under the Foo Public License, version 2.0.", "No part of this publication may be reproduced without written", "Redistribution and use in source and binary forms, with or without modification, are"]
+    texts += ["This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"]
+    texts += [f"Some words before.\n\n{t}\n\nand after" for ts in licences.TEMPLATES.values() for t in ts]
+
+    def found(paragraph):
+        grams = set(licences.ngrams_of(paragraph))
+        z = (sum((w[at[g]] for g in grams if g in at), np.zeros(len(classes))) + b) / heat
+        p = np.exp(z - z.max())
+        family = classes[int(p.argmax())]
+        if family == licences.UNKNOWN or p.max() / p.sum() < licences.CONFIDENCE:
+            return None
+        forms = [set(licences.ngrams_of(t)) for t in licences.TEMPLATES[family]]
+        name = licences.names()[family]
+        sure = any(len(f & grams) >= licences.CONTAINED * len(f) and (name.isdisjoint(f) or name & f & grams) for f in forms)
+        return family if sure else None
+
+    def scan(text):
+        lines, out, start = text.split("\n"), [], None
+        out = [(i, found(x)) for i, x in enumerate(lines)]
+        for i in range(len(lines) + 1):
+            full = i < len(lines) and re.search("[a-z0-9]", lines[i].lower())
+            if full and start is None:
+                start = i
+            elif not full and start is not None:
+                family = found(" ".join(lines[start:i])) if i - start > 1 else None
+                if family and family not in [f for j, f in out[: len(lines)] if start <= j < i]:
+                    out.append((start, family))
+                start = None
+        hits = [(i, f) for i, f in out if f]
+        return len(hits), ",".join(sorted({f for _, f in hits})), ",".join(str(i) for i, _ in sorted(hits))
+
+    rows = licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["n_licences"], r["families"] or "", r["lines"] or "") for r in rows}
+    assert [got[i] for i in range(len(texts))] == [scan(t) for t in texts]
+    assert [got[i][1] for i in range(12, 18)] == ["epl", "", "proprietary", "bsd", "lgpl", "mit"]
+    assert all(got[i][0] == 0 for i in range(12))
+
+
 def test_licence_ngrams_agree(spark):
     text = "Licensed under the MIT-License, v2.0 été."
     got = spark.createDataFrame([(text,)], "t string").select(licences._ngrams(licences.F.col("t"))).first()[0]
