@@ -12,8 +12,10 @@ names its algorithm, ``pem`` is a private key's opening line.
 
 Defined cases: a null text is empty; an empty text or one without secrets has
 counts of 0 and empty lists; every input row gives one row, repeated rows
-included; the id may be null; further input columns are ignored.  Whole texts
-are read, one at a time.
+included; the id may be null; further input columns, whatever their names, are
+ignored; an empty table gives no rows.  Whole texts are read, one at a time; a
+card or account number counts if it begins within ``NEAR`` characters of its
+keyword or of another such number.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", re.ASCII)
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])*", re.ASCII)
+CARD_LENGTHS = tuple(range(19, 12, -1))
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])*")
+IBAN_LENGTHS = {"AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26, "UA": 29}
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 KEYWORDS = {
@@ -65,8 +69,10 @@ KEYWORDS = {
     "-----begin": "pem",
 }
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-#: Characters after a card or account keyword in which the number may begin.
+#: Characters after a card or account keyword, or after a number found so, in which a number may begin.
 NEAR = 24
+#: Characters that one card or account number may take, separators included.
+SPAN = 72
 
 
 def luhn(digits: str) -> bool:
@@ -113,12 +119,26 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in zip(text, map(str.lower, text), strict=True))
 
 
-def _number(form: re.Pattern, text: str, at: int, ok) -> tuple[int, int] | None:
-    """The first checked number that begins soon after a keyword's end."""
-    for m in form.finditer(text, at, min(len(text), at + NEAR + 48)):
-        if m.start() <= at + NEAR and ok(m.group()):
-            return m.span()
-    return None
+def _numbers(kind: str, text: str, at: int) -> Iterator[tuple[int, int]]:
+    """Checked numbers that begin soon after a keyword's end, or after the number before.
+
+    At each place where a number may begin every admissible length is tried, the
+    longest first: of a country's accounts its own, else all.
+    """
+    form, end = (CARD if kind == "card" else IBAN), at + NEAR
+    while (m := form.search(text, at, min(len(text), end + SPAN))) and m.start() <= end:
+        places = [i for i in range(*m.span()) if text[i].isalnum()]
+        own = IBAN_LENGTHS.get(text[m.start() : m.start() + 2])
+        lengths = CARD_LENGTHS if kind == "card" else (own,) if own else tuple(range(34, 14, -1))
+        at = m.start() + 1
+        for n in lengths:
+            if n <= len(places):
+                stop = places[n - 1] + 1
+                found = "".join(text[i] for i in places[:n])
+                if not text[stop : stop + 1].isalnum() and (luhn(found) if kind == "card" else iban_ok(found)):
+                    yield m.start(), stop
+                    at, end = stop, stop + NEAR
+                    break
 
 
 def spans_of(text: str) -> list[tuple[int, int, int]]:
@@ -153,9 +173,7 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
                 ends[kind] = m.end()
                 out.add((start, k, m.end()))
         else:
-            form, ok = (CARD, lambda s: luhn(re.sub("[ -]", "", s))) if kind == "card" else (IBAN, iban_ok)
-            if span := _number(form, text, start + n, ok):
-                out.add((span[0], k, span[1]))
+            out.update((a, k, b) for a, b in _numbers(kind, text, start + n))
     out.update((m.start(), 2, m.end()) for m in HEX.finditer(text))
     return sorted(out)
 

@@ -30,6 +30,20 @@ def test_secrets_with_checksums():
     assert kinds == ["github", "card", "iban", "jwt", "pem"]
 
 
+def test_secrets_numbers():
+    found = lambda text: [(secrets.KINDS[k], text[a:b]) for a, k, b in secrets.spans_of(text)]
+    card, iban = "4111 1111 1111 1111", "DE89370400440532013000"
+    assert found(f"IBAN: {iban} BIC COBADEFFXXX") == [("iban", iban)]
+    assert found(f"iban {iban} 00 AND") == [("iban", iban)]
+    spaced = iban[:4] + " " + " ".join(iban[4:])
+    assert found(f"iban {spaced}") == [("iban", spaced)]
+    assert found(f"card {card} 12/25") == [("card", card)]
+    assert found("Visa 4111111111111111 123") == [("card", "4111111111111111")]
+    assert found(f"card no. 12 {card}") == [("card", card)]
+    assert found(f"cards: {card}, 5500 0000 0000 0004") == [("card", card), ("card", "5500 0000 0000 0004")]
+    assert found("card 41111111111111112222") == [] and found(f"nothing {card}") == []
+
+
 def test_secrets_odd_rows(odd_docs, no_docs):
     rows = secrets.scan_secrets(odd_docs).collect()
     assert len(rows) == 11 and sum(r["n_assign"] for r in rows) == 1
