@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,6 +76,11 @@ class Scratch:
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
+    def sweep(self) -> None:
+        """Let the cluster delete shuffle files of finished steps now: it does when the driver has collected its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing will read any more."""
         path = getattr(df, "_scratch_path", None)
