@@ -606,6 +606,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
         each = each.groupBy(*key).applyInArrow(_statistics_summed, statistics)
     given = share({lang: (single_words(unpack_sorted(last), unpack(n1, np.int32)), discounts_of(few2), discounts_of(few3)) for lang, few3, few2, last, n1 in each.select("lang", "few3", "few2", "last", "last_n").collect()})
 
+    del each
+    scratch.sweep()
     asked = dealt(False)
     if split:
         places = spark.createDataFrame([(lang, word, i) for lang, x in split.items() for word, k in x.items() for i in _places(word, k, shards[lang])], "lang string, word int, at int")

@@ -255,6 +255,7 @@ def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     labels = component_labels(fps.sparkSession, star, scratch=scratch)
     known = fps.join(labels, "id", "left").select("id", *WORDS, F.coalesce("comp", "id").alias("c"))
     known = scratch.write(known, "known")
+    scratch.sweep()
     sizes = labels.groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("size")).filter(F.col("size") > GIANT)
     giants = scratch.write(sizes.select("c"), "giants")
     few, many = known.join(giants, "c", "left_anti"), known.join(giants, "c", "left_semi")
