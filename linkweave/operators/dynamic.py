@@ -65,15 +65,21 @@ def snapshots(ops: DataFrame, times: Sequence[int]) -> DataFrame:
 
 
 def snapshot_components(ops: DataFrame, times: Sequence[int]) -> DataFrame:
-    """(t, comp, size): components with an edge at each time."""
-    spark, out = ops.sparkSession, None
-    for t in times:
-        own = component_labels(spark, live_edges(ops, t))
-        own = own.groupBy("comp").agg(F.count("*").alias("size")).select(F.lit(int(t)).cast("long").alias("t"), "comp", "size")
-        out = own if out is None else out.unionByName(own)
-    if out is None:
+    """(t, comp, size): components with an edge at each time, from one labelling of all times' edges.
+
+    Vertex x of time number i is vertex x * times + i there, which keeps the
+    order of a time's vertices; ids have to leave room for that.
+    """
+    every, n = sorted(set(times)), len(set(times))
+    if not every:
         raise ValueError("no times")
-    return out
+    number = F.array_position(F.array(*[F.lit(int(t)).cast("long") for t in every]), F.col("t")) - 1
+    room = (1 << 62) // n
+    at = lambda c: F.when(F.abs(c) < room, F.col(c) * n + number).otherwise(F.raise_error(F.concat(F.lit("too large an id: "), F.col(c).cast("string")))).cast("long")
+    edges = snapshots(ops, every).select(at("src").alias("src"), at("dst").alias("dst"))
+    sizes = component_labels(ops.sparkSession, edges).groupBy("comp").agg(F.count("*").alias("size"))
+    own = F.pmod("comp", F.lit(n))
+    return sizes.select(F.element_at(F.array(*[F.lit(int(t)).cast("long") for t in every]), (own + 1).cast("int")).alias("t"), ((F.col("comp") - own) / n).cast("long").alias("comp"), "size")
 
 
 def outcome_classes(codes: DataFrame) -> DataFrame:

@@ -69,6 +69,13 @@ class Graph:
     def with_edges(self, pairs: DataFrame) -> Graph:
         return Graph.from_edges(self.vertices, pairs)
 
+    def with_adjacency(self, lists: DataFrame) -> Graph:
+        """The edges of rows (id, neighbors), of which there is one for each vertex."""
+        n, found, known = self.vertices.count(), lists.count(), lists.select("id").distinct().join(self.vertices, "id", "left_semi").count()
+        if not n == found == known:
+            raise ValueError(f"{found} lists of {known} known vertices for {n} vertices")
+        return Graph.from_edges(self.vertices, lists.select(F.col("id").alias("src"), F.explode("neighbors").alias("dst")))
+
     def without_edges(self) -> Graph:
         return Graph(self.vertices, self.edges.limit(0))
 

@@ -178,3 +178,17 @@ def spanning_forest(g: Graph) -> DataFrame:
     roots = component_labels(g.edges.sparkSession, g.edges).select(F.col("comp").alias("id")).distinct()
     tree = search(g, roots)
     return tree.select(F.col("source").alias("root"), "id", F.col("dist").alias("depth"), "parent")
+
+
+def subtree_sizes(forest: DataFrame) -> DataFrame:
+    """(root, id, size) of a spanning forest: how many vertices stand at or below each one."""
+    scratch = Scratch(forest.sparkSession, "subtrees")
+    tree = scratch.write(forest.select(F.col("root").alias("source"), "id", "parent"), "tree")
+    ways = paths_up(tree, tree.select(F.xxhash64("source", "id").alias("key"), "source", "id"))
+    return ways.select(F.col("path")[0].alias("root"), F.explode("path").alias("id")).groupBy("root", "id").agg(F.count("*").alias("size"))
+
+
+def centroids(sizes: DataFrame) -> DataFrame:
+    """(root, centroid): the lowest vertex of each tree with more than half of its vertices at or below it."""
+    whole = sizes.groupBy("root").agg(F.max("size").alias("n"))
+    return sizes.join(whole, "root").filter(F.col("size") * 2 > F.col("n")).groupBy("root").agg(F.min_by("id", "size").alias("centroid"))

@@ -17,7 +17,6 @@ G1 = "SELECT DISTINCT l_orderkey * 2 AS src, l_partkey * 2 + 1 AS dst FROM linei
 G2 = G1.replace("46", "49")
 G3 = "SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT l_partkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 49)"
 V3 = "SELECT p_partkey * 2 AS id FROM part UNION SELECT s_suppkey * 2 + 1 FROM supplier"
-G4 = "SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT user_id * 2 AS a, CAST(props->>'$.k' AS BIGINT) * 2 + 1 AS b FROM events WHERE event_type = 'purchase')"
 OPS = "SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'delete' WHEN 'click' THEN 'query' ELSE 'insert' END AS op, user_id * 2 AS u, CAST(props->>'$.k' AS BIGINT) * 2 + 1 AS v FROM events"
 
 
@@ -43,21 +42,16 @@ def _with_search(graph: str, sources: str, rest: str, more: str = "") -> str:
     return f"WITH RECURSIVE {_edges(graph)}, {search}{more} {rest}"
 
 
-ACTIVE4 = "SELECT src AS id FROM e UNION SELECT dst FROM e"
-SOURCES4 = f"SELECT id FROM ({ACTIVE4}) WHERE id % 26 = 0"
-PAIRS4 = f"SELECT row_number() OVER (ORDER BY a.id, b.id) - 1 AS pair_id, a.id AS u, b.id AS v FROM ({SOURCES4}) a JOIN ({ACTIVE4}) b ON (a.id + b.id) % 37 = 1 AND b.id % 2 = 1"
+G6 = "SELECT DISTINCT user_id // 25 * 1000 + user_id % 25 AS src, user_id // 25 * 1000 + 500 + CAST(props->>'$.k' AS BIGINT) % 60 AS dst FROM events WHERE event_type = 'purchase'"
+ACTIVE6 = "SELECT src AS id FROM e UNION SELECT dst FROM e"
+PAIRS6 = f"SELECT a.id * 1000 + b.id % 1000 AS pair_id, a.id AS u, b.id AS v FROM ({ACTIVE6}) a JOIN ({ACTIVE6}) b ON a.id // 1000 = b.id // 1000 AND a.id % 1000 < 500 AND b.id % 1000 >= 500"
 
 
-def _sources4(g: Graph) -> DataFrame:
-    return g.vertices.filter("id % 26 = 0")
-
-
-def _pairs4(g: Graph) -> DataFrame:
-    """Pairs of a source and a far id by a hash rule, joined on the rule's value."""
-    a = _sources4(g).select(F.col("id").alias("u"), (F.col("id") % 37).alias("ru"))
-    b = g.vertices.filter("id % 2 = 1").select(F.col("id").alias("v"), ((38 - F.col("id") % 37) % 37).alias("ru"))
-    rows = a.join(b, "ru").select("u", "v")
-    return rows.selectExpr("CAST(row_number() OVER (ORDER BY u, v) - 1 AS BIGINT) AS pair_id", "u", "v")
+def _pairs6(g: Graph) -> DataFrame:
+    """Every user with every k value of the same group."""
+    ids = g.vertices.select("id", F.floor(F.col("id") / 1000).alias("first"), (F.col("id") % 1000).alias("rest"))
+    a, b = ids.filter("rest < 500").select("first", F.col("id").alias("u")), ids.filter("rest >= 500").select("first", "rest", F.col("id").alias("v"))
+    return a.join(b, "first").select((F.col("u") * 1000 + F.col("rest")).alias("pair_id"), "u", "v")
 
 
 # -- queries -------------------------------------------------------------------
@@ -82,8 +76,9 @@ def num_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def component_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tables.part_supplier_graph(spark, sf_dir)
-    return connectivity.component_of(g, g.vertices.filter("id % 10 = 0"))
+    edges = tables.order_part_edges(spark, sf_dir, 49)
+    g = Graph(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), edges)
+    return connectivity.component_of(g, g.vertices)
 
 
 def component_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +106,7 @@ def isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.part_supplier_graph(spark, sf_dir)
-    return vertices.neighbors(g, g.vertices.filter("id % 2 = 1"))
+    return vertices.neighbors(g, g.vertices)
 
 
 def retain_active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,15 +168,20 @@ def live_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dynamic.live_edges(tables.event_ops(spark, sf_dir))
 
 
-CUTS = (200, 400, 800)
+def _cuts(ops: DataFrame) -> list[int]:
+    """Quarters of the whole log."""
+    last = ops.agg(F.max("seq")).first()[0] or 0
+    return [last * i // 4 for i in (1, 2, 3, 4)]
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dynamic.snapshots(tables.event_ops(spark, sf_dir), CUTS)
+    ops = tables.event_ops(spark, sf_dir)
+    return dynamic.snapshots(ops, _cuts(ops))
 
 
 def snapshot_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dynamic.snapshot_components(tables.event_ops(spark, sf_dir), CUTS)
+    ops = tables.event_ops(spark, sf_dir)
+    return dynamic.snapshot_components(ops, _cuts(ops))
 
 
 def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,13 +218,13 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tables.purchase_graph(spark, sf_dir)
-    return traversal.search(g, _sources4(g)).select("source", "id", "dist", "parent")
+    g = tables.grouped_purchase_graph(spark, sf_dir)
+    return traversal.search(g, g.vertices).select("source", "id", "dist", "parent")
 
 
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tables.purchase_graph(spark, sf_dir)
-    found = traversal.shortest_paths(g, _pairs4(g))
+    g = tables.grouped_purchase_graph(spark, sf_dir)
+    found = traversal.shortest_paths(g, _pairs6(g))
     return found.select("pair_id", "u", "v", "length", F.posexplode("path").alias("pos", "id"))
 
 
@@ -246,21 +246,68 @@ def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(g: Graph) -> tuple[DataFrame, DataFrame]:
-    candidates = g.vertices.filter("id % 38 = 1")
-    terminals = _pairs4(g).select(F.col("v").alias("terminal"), F.col("u").alias("root"))
-    return candidates, terminals
+    return g.vertices, _pairs6(g).select(F.col("v").alias("terminal"), F.col("u").alias("root"))
 
 
 def betweenness_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tables.purchase_graph(spark, sf_dir)
+    g = tables.grouped_purchase_graph(spark, sf_dir)
     return betweenness.grouped(g, *_asked(g))
 
 
 def betweenness_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tables.purchase_graph(spark, sf_dir)
+    g = tables.grouped_purchase_graph(spark, sf_dir)
     return betweenness.pairwise(g, *_asked(g))
 
 
+def _towns(g: Graph) -> DataFrame:
+    """One user of each group: the arguments of a question, not a part of the data."""
+    return g.vertices.filter("id % 1000 = 0").select("id")
+
+
+def betweenness_super_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every k value with the super root, which stands for all base towns."""
+    g = tables.grouped_purchase_graph(spark, sf_dir)
+    terminals = _pairs6(g).select(F.col("v").alias("terminal"), F.lit(-1).cast("long").alias("root")).distinct()
+    return betweenness.pairwise(g, g.vertices, terminals, _towns(g), -1)
+
+
+def betweenness_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = tables.grouped_purchase_graph(spark, sf_dir)
+    return betweenness.subset_betweenness(g, *_asked(g), _towns(g), -1, "auto")
+
+
+def cycle_basis_rooted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cycles of the trees searched from each component's largest vertex."""
+    g = tables.part_supplier_graph(spark, sf_dir)
+    roots = connectivity.labels(g, False).groupBy("comp").agg(F.max("id").alias("id"))
+    return cycles.cycle_basis(g, roots.select("id")).select("root", "u", "v", F.posexplode("cycle").alias("pos", "id"))
+
+
+def subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.subtree_sizes(traversal.spanning_forest(tables.part_supplier_graph(spark, sf_dir)))
+
+
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traversal.centroids(traversal.subtree_sizes(traversal.spanning_forest(tables.part_supplier_graph(spark, sf_dir))))
+
+
+def reset_to_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another graph's edges, by one list for each vertex."""
+    g = tables.part_supplier_graph(spark, sf_dir)
+    lists = g.vertices.join(g.adjacency(), "id", "left").select("id", F.coalesce("neighbors", F.array().cast("array<long>")).alias("neighbors"))
+    return g.without_edges().with_adjacency(lists).edges
+
+
+def replay_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which changes take effect where ends above 19 are unknown and the edge 1-2 is there at first."""
+    logs = _logs(spark, sf_dir)
+    graphs = logs.select("graph_id").distinct()
+    known = graphs.select("graph_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("id"))
+    first = graphs.select("graph_id", F.lit(1).cast("long").alias("src"), F.lit(2).cast("long").alias("dst"))
+    out = replay.replay(logs, known, first).filter("op <> 'query'")
+    return out.select("seq", (F.col("code") >= 0).alias("valid"))
+
+
 QUERIES = {
     "components": components,
     "component_members": component_members,
@@ -298,22 +345,33 @@ QUERIES = {
     "bridges": bridges,
     "betweenness_grouped": betweenness_grouped,
     "betweenness_pairwise": betweenness_pairwise,
+    "betweenness_super_root": betweenness_super_root,
+    "betweenness_auto": betweenness_auto,
+    "cycle_basis_rooted": cycle_basis_rooted,
+    "subtree_sizes": subtree_sizes,
+    "centroids": centroids,
+    "reset_to_adjacency": reset_to_adjacency,
+    "replay_known": replay_known,
 }
 
 # -- SQL -----------------------------------------------------------------------
 
 _LIVE = "SELECT src, dst FROM (SELECT least(u, v) AS src, greatest(u, v) AS dst, arg_max(op, seq) AS op FROM o WHERE op <> 'query' AND u <> v AND {0} GROUP BY ALL) WHERE op = 'insert'"
-_CUT_ROWS = "(SELECT unnest([200, 400, 800]) AS t)"
+_CUT_ROWS = "(SELECT DISTINCT unnest([1, 2, 3, 4]) * max(seq) // 4 AS t FROM o)"
 _VALID = "SELECT seq, op, op <> coalesce(lag(op) OVER (PARTITION BY {0}least(u, v), greatest(u, v) ORDER BY seq), 'delete') AND u <> v AS valid FROM o WHERE op <> 'query'"
-_CAND4 = f"cand AS (SELECT id FROM ({ACTIVE4}) WHERE id % 38 = 1)"
-_TERM4 = f"term AS (SELECT v AS terminal, u AS root FROM ({PAIRS4}))"
+_CAND6 = f"cand AS ({ACTIVE6})"
+_TERM6 = f"term AS (SELECT v AS terminal, u AS root FROM ({PAIRS6}))"
 _CLIMB = ", up(k, s, id, step) AS (SELECT pair_id, u, v, 0 FROM ({0}) UNION ALL SELECT up.k, up.s, t.parent, step + 1 FROM up JOIN tree t ON t.s = up.s AND t.v = up.id WHERE t.parent IS NOT NULL)"
 
+_FOREST = """bfs(s, v, d) USING KEY (s, v) AS (SELECT DISTINCT l, l, 0 FROM lab UNION (SELECT u.s, e.dst, min(u.d) + 1 FROM bfs u JOIN e ON u.v = e.src LEFT JOIN recurring.bfs k ON k.s = u.s AND k.v = e.dst WHERE k.v IS NULL GROUP BY u.s, e.dst)),
+    tree AS (SELECT b.s, b.v, min(p.v) AS parent FROM bfs b LEFT JOIN (e JOIN bfs p ON p.v = e.src) ON e.dst = b.v AND p.d = b.d - 1 GROUP BY b.s, b.v)"""
+_ABOVE = "above(root, id, low) AS (SELECT s, v, v FROM tree UNION ALL SELECT a.root, t.parent, a.low FROM above a JOIN tree t ON t.v = a.id WHERE t.parent IS NOT NULL)"
+
 SQL = {
     "components": _with_labels(G1, "SELECT l AS comp, count(*) AS size FROM lab GROUP BY l"),
     "component_members": _with_labels(G2, "SELECT l AS comp, count(*) OVER (PARTITION BY l) AS size, CAST(row_number() OVER (PARTITION BY l ORDER BY v) - 1 AS INTEGER) AS pos, v AS id FROM lab"),
     "num_components": _with_labels(G3, "SELECT count(DISTINCT l) AS n_components FROM lab"),
-    "component_of": _with_labels(G3, f", x AS (SELECT id, coalesce(l, id) AS comp FROM ({V3}) LEFT JOIN lab ON v = id) SELECT a.id, b.id AS member FROM x a JOIN x b USING (comp) WHERE a.id % 10 = 0"),
+    "component_of": _with_labels(G2, "SELECT a.v AS id, b.v AS member FROM lab a JOIN lab b USING (l)"),
     "component_bitmaps": _with_labels(G1, "SELECT l AS comp, v // 32768 + CASE WHEN v > 0 AND v % 32768 = 0 THEN 0 ELSE 1 END AS bucket, count(*) AS n FROM lab GROUP BY ALL"),
     "connected_pairs": _with_labels(G3, f""", x AS (SELECT id, coalesce(l, id) AS comp FROM ({V3}) LEFT JOIN lab ON v = id),
         p AS (SELECT l_partkey * 2 AS u, l_suppkey * 2 + l_linenumber % 3 AS v, min(l_orderkey * 8 + l_linenumber) AS pair_id FROM lineitem WHERE l_quantity >= 48 GROUP BY ALL)
@@ -321,7 +379,7 @@ SQL = {
     "degree": f"WITH {_edges(G3)} SELECT id, count(dst) AS degree FROM ({V3}) LEFT JOIN e ON src = id GROUP BY id",
     "active": f"WITH {_edges(G3)} SELECT DISTINCT src AS id FROM e",
     "isolated": f"WITH {_edges(G3)} SELECT id FROM ({V3}) WHERE id NOT IN (SELECT src FROM e)",
-    "neighbors": f"WITH {_edges(G3)} SELECT src AS id, dst AS neighbor FROM e WHERE src % 2 = 1",
+    "neighbors": f"WITH {_edges(G3)} SELECT src AS id, dst AS neighbor FROM e",
     "retain_active": f"WITH {_edges(G3)} SELECT l_orderkey * 8 + l_linenumber AS pos, l_partkey * 2 AS id FROM lineitem WHERE l_partkey * 2 IN (SELECT src FROM e)",
     "isolate_node": f"WITH {_edges(G3)}, b AS (SELECT src AS id FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) SELECT src, dst FROM g WHERE src NOT IN (FROM b) AND dst NOT IN (FROM b)",
     "isolate_nodes": f"WITH {_edges(G3)} SELECT src, dst FROM g WHERE src % 3 <> 0 AND dst % 3 <> 0",
@@ -339,8 +397,8 @@ SQL = {
         SELECT CAST(t AS BIGINT) AS t, l AS comp, count(*) AS size FROM lab GROUP BY ALL""",
     "replay_valid": f"WITH o AS ({LOGS}) SELECT seq, valid FROM (" + _VALID.format("graph_id, ") + ")",
     "latency_report": "SELECT event_type, count(*) AS count, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, max(value) AS max FROM events GROUP BY event_type",
-    "distances": _with_search(G4, SOURCES4, "SELECT s AS source, v AS id, CAST(d AS BIGINT) AS dist, parent FROM tree"),
-    "shortest_paths": _with_search(G4, SOURCES4, "SELECT pair_id, u, v, CAST(max(step) OVER (PARTITION BY pair_id) AS BIGINT) AS length, CAST(max(step) OVER (PARTITION BY pair_id) - step AS INTEGER) AS pos, id FROM up JOIN p ON pair_id = k", f", p AS ({PAIRS4})" + _CLIMB.format("SELECT p.* FROM p JOIN tree t ON t.s = p.u AND t.v = p.v")),
+    "distances": _with_search(G6, ACTIVE6, "SELECT s AS source, v AS id, CAST(d AS BIGINT) AS dist, parent FROM tree"),
+    "shortest_paths": _with_search(G6, ACTIVE6, "SELECT pair_id, u, v, CAST(max(step) OVER (PARTITION BY pair_id) AS BIGINT) AS length, CAST(max(step) OVER (PARTITION BY pair_id) - step AS INTEGER) AS pos, id FROM up JOIN p ON pair_id = k", f", p AS ({PAIRS6})" + _CLIMB.format("SELECT p.* FROM p JOIN tree t ON t.s = p.u AND t.v = p.v")),
     "spanning_forest": f"WITH RECURSIVE {_edges(G1)}, {LABELS}, bfs(s, v, d) USING KEY (s, v) AS (SELECT DISTINCT l, l, 0 FROM lab UNION (SELECT u.s, e.dst, min(u.d) + 1 FROM bfs u JOIN e ON u.v = e.src LEFT JOIN recurring.bfs k ON k.s = u.s AND k.v = e.dst WHERE k.v IS NULL GROUP BY u.s, e.dst)) SELECT b.s AS root, b.v AS id, CAST(b.d AS BIGINT) AS depth, min(p.v) AS parent FROM bfs b LEFT JOIN (e JOIN bfs p ON p.v = e.src) ON e.dst = b.v AND p.d = b.d - 1 GROUP BY b.s, b.v, b.d",
     "cycle_rank": _with_labels(G1, "SELECT n.comp, m.m - n.n + 1 AS rank FROM (SELECT l AS comp, count(*) AS n FROM lab GROUP BY l) n JOIN (SELECT l AS comp, count(*) AS m FROM g JOIN lab ON v = src GROUP BY l) m USING (comp)"),
     "bridges": f"WITH RECURSIVE {_edges(G3)}, r(a, b, v) USING KEY (a, b, v) AS (SELECT src, dst, src FROM g UNION (SELECT DISTINCT r.a, r.b, e.dst FROM r JOIN e ON e.src = r.v AND NOT (e.src = r.a AND e.dst = r.b) LEFT JOIN recurring.r k ON k.a = r.a AND k.b = r.b AND k.v = e.dst WHERE k.v IS NULL)) SELECT src, dst FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE a = src AND b = dst AND v = dst)",
@@ -352,8 +410,26 @@ SQL = {
         lca AS (SELECT a.u, a.w, min(a.step) AS su, min(b.step) AS sw FROM up a JOIN up b ON a.u = b.u AND a.w = b.w AND a.id = b.id WHERE a.side = 0 AND b.side = 1 GROUP BY ALL)
         SELECT l AS root, up.u, up.w AS v, CAST(CASE side WHEN 0 THEN step ELSE su + sw - step END AS INTEGER) AS pos, id
         FROM up JOIN lca ON up.u = lca.u AND up.w = lca.w JOIN lab ON lab.v = up.u WHERE (side = 0 AND step <= su) OR (side = 1 AND step < sw)""",
-    "betweenness_grouped": _with_search(G4, f"{SOURCES4} UNION SELECT id FROM ({ACTIVE4}) WHERE id % 38 = 1", f"""SELECT id AS candidate, coalesce(n, 0) AS betweenness FROM cand LEFT JOIN (
+    "betweenness_grouped": _with_search(G6, ACTIVE6, f"""SELECT id AS candidate, coalesce(n, 0) AS betweenness FROM cand LEFT JOIN (
         SELECT c.s AS cid, count(*) AS n FROM term JOIN bfs d ON d.s = root AND d.v = terminal JOIN bfs c ON c.v = root JOIN bfs f ON f.s = c.s AND f.v = terminal
-        WHERE c.s IN (SELECT id FROM cand) AND d.d = c.d + f.d GROUP BY c.s) ON cid = id""", f", {_CAND4}, {_TERM4}"),
-    "betweenness_pairwise": _with_search(G4, f"SELECT DISTINCT v AS id FROM ({PAIRS4})", "SELECT id AS candidate, coalesce(n, 0) AS betweenness FROM cand LEFT JOIN (SELECT id AS cid, count(*) AS n FROM up GROUP BY id) ON cid = id", f", {_CAND4}, p AS ({PAIRS4})" + _CLIMB.format("SELECT pair_id, p.v AS u, p.u AS v FROM p JOIN tree t ON t.s = p.v AND t.v = p.u")),
+        WHERE c.s IN (SELECT id FROM cand) AND d.d = c.d + f.d GROUP BY c.s) ON cid = id""", f", {_CAND6}, {_TERM6}"),
+    "betweenness_pairwise": _with_search(G6, ACTIVE6, "SELECT id AS candidate, coalesce(n, 0) AS betweenness FROM cand LEFT JOIN (SELECT id AS cid, count(*) AS n FROM up GROUP BY id) ON cid = id", f", {_CAND6}, p AS ({PAIRS6})" + _CLIMB.format("SELECT pair_id, p.v AS u, p.u AS v FROM p JOIN tree t ON t.s = p.v AND t.v = p.u")),
+    "betweenness_super_root": _with_search(G6, ACTIVE6, "SELECT id AS candidate, coalesce(n, 0) AS betweenness FROM cand LEFT JOIN (SELECT id AS cid, count(*) AS n FROM up GROUP BY id) ON cid = id", f", {_CAND6}, p AS (SELECT t.id * 100000000 + b.id AS pair_id, b.id AS u, t.id AS v FROM ({ACTIVE6}) t JOIN ({ACTIVE6}) b ON t.id % 1000 >= 500 AND b.id % 1000 = 0)" + _CLIMB.format("SELECT pair_id, p.v AS u, p.u AS v FROM p JOIN tree t ON t.s = p.v AND t.v = p.u")),
+    "cycle_basis_rooted": f"""WITH RECURSIVE {_edges(G3)}, {LABELS},
+        bfs(s, v, d) USING KEY (s, v) AS (SELECT l, max(v), 0 FROM lab GROUP BY l UNION (SELECT u.s, e.dst, min(u.d) + 1 FROM bfs u JOIN e ON u.v = e.src LEFT JOIN recurring.bfs k ON k.s = u.s AND k.v = e.dst WHERE k.v IS NULL GROUP BY u.s, e.dst)),
+        tree AS (SELECT b.s, b.v, min(p.v) AS parent FROM bfs b LEFT JOIN (e JOIN bfs p ON p.v = e.src) ON e.dst = b.v AND p.d = b.d - 1 GROUP BY b.s, b.v),
+        x AS (SELECT src AS u, dst AS w FROM g WHERE NOT EXISTS (SELECT 1 FROM tree WHERE (v = src AND parent = dst) OR (v = dst AND parent = src))),
+        up(u, w, side, id, step) AS (SELECT u, w, 0, u, 0 FROM x UNION ALL SELECT u, w, 1, w, 0 FROM x UNION ALL SELECT up.u, up.w, side, parent, step + 1 FROM up JOIN tree ON v = id WHERE parent IS NOT NULL),
+        lca AS (SELECT a.u, a.w, min(a.step) AS su, min(b.step) AS sw FROM up a JOIN up b ON a.u = b.u AND a.w = b.w AND a.id = b.id WHERE a.side = 0 AND b.side = 1 GROUP BY ALL)
+        SELECT (SELECT max(q.v) FROM lab q WHERE q.l = lab.l) AS root, up.u, up.w AS v, CAST(CASE side WHEN 0 THEN step ELSE su + sw - step END AS INTEGER) AS pos, id
+        FROM up JOIN lca ON up.u = lca.u AND up.w = lca.w JOIN lab ON lab.v = up.u WHERE (side = 0 AND step <= su) OR (side = 1 AND step < sw)""",
+    "subtree_sizes": f"""WITH RECURSIVE {_edges(G3)}, {LABELS}, {_FOREST}, {_ABOVE} SELECT root, id, count(*) AS size FROM above GROUP BY ALL""",
+    "centroids": f"""WITH RECURSIVE {_edges(G3)}, {LABELS}, {_FOREST}, {_ABOVE}, z AS (SELECT root, id, count(*) AS size FROM above GROUP BY ALL)
+        SELECT root, arg_min(id, size) AS centroid FROM z JOIN (SELECT root, max(size) AS n FROM z GROUP BY root) USING (root) WHERE size * 2 > n GROUP BY root""",
+    "reset_to_adjacency": f"SELECT src, dst FROM ({G3})",
+    "replay_known": f"""WITH o AS (SELECT graph_id, seq, op, u, v FROM ({LOGS}) WHERE op <> 'query'),
+        k AS (SELECT *, u <> v AND u < 20 AND v < 20 AS ok, least(u, v) AS a, greatest(u, v) AS b FROM o),
+        j AS (SELECT seq, op <> coalesce(lag(op) OVER (PARTITION BY graph_id, a, b ORDER BY seq), CASE WHEN a = 1 AND b = 2 THEN 'insert' ELSE 'delete' END) AS valid FROM k WHERE ok)
+        SELECT k.seq, coalesce(valid, false) AS valid FROM k LEFT JOIN j USING (seq)""",
 }
+SQL["betweenness_auto"] = SQL["betweenness_grouped"]

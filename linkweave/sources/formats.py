@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkweave.operators.graph import canonical
+from linkweave.plans.scratch import Scratch
 
 
 def matrix_market_lines(lines: DataFrame) -> DataFrame:
@@ -33,10 +34,23 @@ def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     return matrix_market_lines(lines)
 
 
+def _starts(rows: DataFrame) -> DataFrame:
+    """``rows(id, degree)`` with the sum of all degrees before each id.
+
+    Ids are dealt into ranges; each range's sum, one row for each partition, is
+    added to the sums within it.
+    """
+    scratch = Scratch(rows.sparkSession, "csr")
+    dealt = rows.select("id", F.col("degree").cast("long").alias("degree")).repartitionByRange("id").select("id", "degree", F.spark_partition_id().alias("range"))
+    dealt = scratch.write(dealt, "ranges")
+    before = lambda key, order, c: F.coalesce(F.sum(c).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = dealt.groupBy("range").agg(F.sum("degree").alias("sum")).select("range", before(F.lit(0), "range", "sum").alias("before"))
+    return dealt.withColumn("start", before("range", "id", "degree")).join(F.broadcast(ranges), "range").select("id", "degree", (F.col("start") + F.col("before")).alias("start"))
+
+
 def csr_pairs(rows: DataFrame, neighbors: DataFrame) -> DataFrame:
     """(src, dst) of compressed rows: ``rows(id, degree)`` and ``neighbors(pos, neighbor)``."""
-    before = F.coalesce(F.sum("degree").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    spans = rows.withColumn("start", before).filter("degree > 0")
+    spans = _starts(rows).filter("degree > 0")
     own = spans.select(F.col("id").alias("src"), F.explode(F.sequence(F.col("start"), F.col("start") + F.col("degree") - 1)).alias("pos"))
     return own.join(neighbors, "pos").select("src", F.col("neighbor").alias("dst"))
 
@@ -44,9 +58,7 @@ def csr_pairs(rows: DataFrame, neighbors: DataFrame) -> DataFrame:
 def to_csr(adjacency: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``adjacency(id, neighbors)`` as (id, degree) and (pos, neighbor)."""
     rows = adjacency.select("id", F.size("neighbors").alias("degree"))
-    start = F.coalesce(F.sum("degree").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = rows.select("id", start.alias("start"))
-    flat = adjacency.select("id", F.posexplode("neighbors").alias("i", "neighbor")).join(at, "id")
+    flat = adjacency.select("id", F.posexplode("neighbors").alias("i", "neighbor")).join(_starts(rows), "id")
     return rows, flat.select((F.col("start") + F.col("i")).alias("pos"), "neighbor")
 
 

@@ -38,6 +38,16 @@ def purchase_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(ids, edges)
 
 
+def grouped_purchase_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Purchases within groups of 25 users: many components of moderate size, with cycles."""
+    rows = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    k = F.get_json_object("props", "$.k").cast("long")
+    first = F.floor(F.col("user_id") / 25) * 1000
+    edges = canonical(rows.select((first + F.col("user_id") % 25).alias("src"), (first + 500 + k % 60).alias("dst")))
+    ids = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return Graph(ids, edges)
+
+
 def event_ops(spark: SparkSession, sf_dir: str, least: float | None = None) -> DataFrame:
     """ops(seq, op, u, v): errors delete, clicks ask, all else inserts."""
     rows = table(spark, sf_dir, "events")

@@ -158,3 +158,15 @@ def test_op_log(spark):
     assert not valid[1] and valid[3]
     assert sorted(map(tuple, dynamic.live_edges(ops, 2, first).collect())) == [(0, 1)]
     assert sorted(map(tuple, dynamic.snapshots(ops, [1, 3, 6]).collect())) == [(1, 0, 1), (6, 2, 3)]
+
+
+def test_subtrees_and_adjacency(spark):
+    pairs = [(0, 1), (1, 2), (2, 3), (2, 4), (10, 11), (1, 3)]
+    g = Graph(spark.range(12), edges_of(spark, pairs))
+    sizes = traversal.subtree_sizes(traversal.spanning_forest(g))
+    assert sorted(map(tuple, sizes.collect())) == [(0, 0, 5), (0, 1, 4), (0, 2, 2), (0, 3, 1), (0, 4, 1), (10, 10, 2), (10, 11, 1)]
+    assert sorted(map(tuple, traversal.centroids(sizes).collect())) == [(0, 1), (10, 10)]
+    lists = spark.createDataFrame([(i, [i - 1] if i else []) for i in range(12)], "id long, neighbors array<long>")
+    assert g.with_adjacency(lists).edges.count() == 11
+    with pytest.raises(ValueError):
+        g.with_adjacency(lists.limit(5))

@@ -81,3 +81,12 @@ def test_stream_keeps_state(spark, tmp_path):
     query.stop()
     got = spark.table("codes")
     assert sorted(map(tuple, dynamic.outcome_classes(got).collect())) == sorted(brute(ops))
+
+
+def test_unknown_ends_ops_and_large_ids(spark):
+    big = (1 << 53) + 1
+    ops = [(1, 0, "insert", big, 5), (1, 1, "insert", None, 5), (1, 2, "query", big - 1, 5), (1, 3, "query", big, 5), (1, 4, "paint", 5, big), (1, 5, "insert", 99, 5), (1, 6, "delete", 5, 7)]
+    known = spark.createDataFrame([(1, big), (1, big - 1), (1, 5), (1, 7)], "graph_id long, id long")
+    first = spark.createDataFrame([(1, 5, 7)], "graph_id long, src long, dst long")
+    got = {r["seq"]: (r["u"], r["code"]) for r in replay(spark.createDataFrame(ops, OPS), known, first).collect()}
+    assert [got[i][1] for i in range(7)] == [1, -1, 0, 1, -1, -1, 2] and got[0][0] == big and got[1][0] is None
