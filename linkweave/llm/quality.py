@@ -243,6 +243,12 @@ class Vocabulary:
         self.rank = np.empty(len(n), dtype=np.int32)
         self.rank[np.lexsort((self.codes, -n))] = np.arange(CLASSES, CLASSES + len(n))
 
+    def __getstate__(self) -> tuple[bytes, bytes]:
+        return pack_sorted(self.codes), pack(self.rank)
+
+    def __setstate__(self, packed: tuple[bytes, bytes]) -> None:
+        self.codes, self.rank = unpack_sorted(packed[0]).astype(np.int32), unpack(packed[1], np.int32)
+
     def numbers(self, words: list[str], codes: int) -> np.ndarray:
         """Each word's rank, or its class if it has none."""
         own = codes_of(words, codes)
@@ -452,11 +458,22 @@ def discounts_of(few: list[int]) -> np.ndarray:
     return np.array([max(LEAST_DISCOUNT, min(i, i - (i + 1) * y * n[i] / n[i - 1])) for i in (1, 2, 3)])
 
 
-def single_words(last: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted words, their probabilities, and that of any other."""
+class Single(tuple):
+    """Sorted words, their probabilities, and that of any other; goes to the tasks packed."""
+
+    def __reduce__(self):
+        return _single, (pack_sorted(self[0]), pack(self[1].astype(np.float32)), self[2])
+
+
+def _single(words: bytes, p: bytes, other: float) -> Single:
+    return Single((unpack_sorted(words).astype(np.int32), unpack(p, np.float32).astype(np.float64), other))
+
+
+def single_words(last: np.ndarray, n1: np.ndarray) -> Single:
+    """Probabilities of single words from the number of words that each was seen after."""
     off = discounts_of(_few(n1))[np.minimum(n1, 3) - 1]
     other = max(float(off.sum()), 0.5) / n1.sum() / (len(n1) + 1)
-    return last.astype(np.int32), ((n1 - off) / n1.sum() + other).astype(np.float64), float(other)
+    return Single((last.astype(np.int32), ((n1 - off) / n1.sum() + other).astype(np.float64), float(other)))
 
 
 def _at(own: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -467,7 +484,7 @@ def _at(own: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, own[at] == asked
 
 
-def log_probabilities(keys: np.ndarray, n: np.ndarray, single: tuple[np.ndarray, np.ndarray, float], d2: np.ndarray, d3: np.ndarray, whole: tuple[np.ndarray, np.ndarray] | None = None):
+def log_probabilities(keys: np.ndarray, n: np.ndarray, single: Single, d2: np.ndarray, d3: np.ndarray, whole: tuple[np.ndarray, np.ndarray] | None = None):
     """Function from asked trigrams of a shard to their log probabilities.
 
     ``single`` is as ``single_words`` gives it; ``whole`` has the sorted bigrams
