@@ -23,7 +23,11 @@ fingerprints don't even come together, so that a group costs nothing once it is
 connected.
 
 Near copies below the resemblance, linked with no original and not with each
-other, are compared with their group's members within their buckets.
+other, would be compared with their group's members in every bucket.  A text
+with more than a fifth of its shingles in no other text resembles none by 0.8.
+So the shingles of all texts around crowded buckets are counted over these, and
+the texts that this rule proves to be alone there only meet texts from elsewhere.
+No link is lost by it.
 
 Defined cases: a text without words, a null one included, has fingerprint zero
 and no shingles; one with fewer words than a shingle has one shingle; texts of
@@ -97,8 +101,9 @@ def wide_fingerprint(own: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(own: np.ndarray) -> bytes:
-    """The smallest hashes, shortened to 32 bits."""
-    return (own[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes()
+    """The smallest distinct hashes, shortened to 32 bits."""
+    short = (own >> np.uint64(32)).astype("<u4")
+    return short[np.concatenate([[True], short[1:] != short[:-1]])][:SKETCH].tobytes() if len(short) else b""
 
 
 def resemblance(a: bytes, b: bytes) -> float:
@@ -217,6 +222,39 @@ def _resembling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(keep)
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """The keys, broadcast where they are few."""
+    return F.broadcast(keys) if keys.count() <= FEW_IDS else keys
+
+
+def _around(known: DataFrame, crowded: DataFrame, places: list[list[int]], scratch: Scratch) -> DataFrame:
+    """(id) of all fingerprints that may meet a member of a crowded bucket (s, v, centre) within the bucket's ball."""
+    centres = crowded.select(F.col("s").alias("own"), "centre.id", *[f"centre.{w}" for w in WORDS])
+    ball_of = scratch.write(_under(centres, places, 1, "own").filter("s = own").select("s", "v").distinct(), "crowds")
+    return scratch.write(_under(known, places, 1).join(_small(ball_of), ["s", "v"], "left_semi").select("id").distinct(), "around")
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1_024):
+            part = batch.slice(start, 1_024)
+            sketches = [np.frombuffer(x.as_py(), "<i4") for x in part.column(1)]
+            sizes = np.array([len(x) for x in sketches])
+            ids = np.repeat(part.column(0).to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(sizes, sizes).astype("<i2")), pa.array(np.concatenate(sketches))], names=["id", "n", "h"])
+
+
+def _lonely(ids: DataFrame, fps: DataFrame) -> DataFrame:
+    """(id) of those fingerprints that can't be verified with any other of ``ids``.
+
+    Of a sketch with n hashes, u of them in no other one, at most n - u are
+    shared, and whatever ``resemblance`` divides by is n or more.
+    """
+    hashes = fps.join(_small(ids), "id", "left_semi").select("id", "sketch").mapInArrow(tidy(_spread), "id long, n short, h int")
+    single = hashes.groupBy("h").agg(F.min("id").alias("id"), F.max("id").alias("top"), F.min("n").alias("n")).filter("id = top")
+    return single.groupBy("id", "n").agg(F.count("*").alias("u")).filter((F.col("n") - F.col("u")) / F.col("n") < RESEMBLANCE).select("id")
+
+
 def _verified(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     """The pairs whose texts resemble each other enough; sketches of few documents are picked before they move."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -242,9 +280,10 @@ def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     buckets = alone.groupBy("s", "v").agg(F.min("id").alias("id"), *low, F.count("*").alias("n")).filter("n > 1")
     buckets = scratch.write(buckets.select("s", "v", "n", F.struct("id", *WORDS).alias("centre")), "buckets")
     star = _star(alone, buckets.select("s", "v", "centre"))
-    crowded = buckets.filter(F.col("n") > CROWD).select("s", "v")
-    if not crowded.isEmpty():
-        members = scratch.write(alone.join(crowded, ["s", "v"]), "members")
+    crowded = buckets.filter(F.col("n") > CROWD)
+    crowds = not crowded.isEmpty()
+    if crowds:
+        members = scratch.write(alone.join(crowded.select("s", "v"), ["s", "v"]), "members")
         some = members.withColumn("k", F.row_number().over(W.partitionBy("s", "v").orderBy(F.xxhash64("id"), "id"))).filter(F.col("k") <= CROWD)
         middle = some.select("s", "v", *WORDS).groupBy("s", "v").applyInArrow(_majority, "s short, v long, f0 long, f1 long, f2 long, f3 long")
         middle = middle.select("s", "v", F.struct(*WORDS).alias("middle"))
@@ -254,12 +293,19 @@ def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     star = scratch.write(_verified(scratch.write(star.distinct(), "candidates"), fps), "star")
     labels = component_labels(fps.sparkSession, star, scratch=scratch)
     known = fps.join(labels, "id", "left").select("id", *WORDS, F.coalesce("comp", "id").alias("c"))
-    known = scratch.write(known, "known")
+    known = whole = scratch.write(known, "known")
     scratch.sweep()
+    under = lambda df: _under(df, places, 1, "c", "f3")
+    apart = None
+    if crowds:
+        around = _around(known, crowded, places, scratch)
+        lonely = _small(scratch.write(_lonely(around, fps), "lonely"))
+        apart = scratch.write(under(known.join(lonely, "id", "left_semi")), "apart")
+        elsewhere = known.join(_small(around), "id", "left_anti")
+        known = known.join(lonely, "id", "left_anti")
     sizes = labels.groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("size")).filter(F.col("size") > GIANT)
     giants = scratch.write(sizes.select("c"), "giants")
     few, many = known.join(giants, "c", "left_anti"), known.join(giants, "c", "left_semi")
-    under = lambda df: _under(df, places, 1, "c", "f3")
     met = _met(under(few), under(few), F.col("x.id") < F.col("y.id"))
     if not giants.isEmpty():
         met = met.union(_met(under(few), under(many), F.lit(True)))
@@ -269,8 +315,11 @@ def wide_links(fps: DataFrame, scratch: Scratch) -> DataFrame:
         top = there.groupBy("s", "v").agg(F.max("c").alias("top"), F.min("c").alias("low")).filter("low <> top").select("s", "v", "top")
         there = scratch.write(there.join(top, ["s", "v"]), "there")
         met = met.union(_met(there.filter("c <> top"), there, (F.col("y.c") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))))
+    if apart is not None and not apart.isEmpty():
+        buckets = _small(apart.select("s", "v").distinct())
+        met = met.union(_met(apart, under(elsewhere).join(buckets, ["s", "v"], "left_semi"), F.lit(True)))
     met = scratch.write(met, "met").distinct()
-    whole = known.select("id", *WORDS)
+    whole = whole.select("id", *WORDS)
     pairs = met.join(whole.alias("x"), F.col("a") == F.col("x.id")).join(whole.alias("y"), F.col("b") == F.col("y.id")).filter(_distance("x", "y") <= MAX_BITS)
     near = scratch.write(pairs.select("a", "b"), "near")
     return scratch.write(star.union(_verified(near, fps)), "links")

@@ -184,6 +184,36 @@ def test_wide_classes_hold_only_verified_links(spark, monkeypatch, giant):
     assert len({got[i] for i in range(150)}) <= 8 and [got[150 + i] for i in range(60)] == list(range(150, 210))
 
 
+def test_lonely_members_of_crowds_lose_no_link(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(simhash_wide, "CROWD", 8)
+    rng = np.random.default_rng(21)
+    base = near_copies(rng, 1, 120, 5)  # resemblance of about 0.84 to the first one
+    docs = base + [near_copies(rng, 1, 1, 0)[0] for _ in range(20)]
+    for _ in range(200):  # about 0.6
+        own = list(base[0])
+        for i in rng.choice(300, 19, replace=False):
+            own[i] = f"e{rng.integers(10**6)}"
+        docs.append(own)
+    for i in range(20):  # twins of some of these
+        own = list(docs[140 + 7 * i])
+        own[i] = "twin"
+        docs.append(own)
+    rows = simhash_wide.wide_fingerprints(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"))
+    scratch = Scratch(spark, "lonely")
+    fps = scratch.write(rows.withColumnRenamed("doc_id", "id"), "fps")
+    found = {r["id"] for r in simhash_wide._lonely(fps.select("id"), fps).collect()}
+    sets = [shingles_of(d) for d in docs]
+    times = Counter(x for own in sets for x in own)
+    assert found == {i for i, own in enumerate(sets) if sum(times[x] > 1 for x in own) < 0.8 * len(own)}
+    twins = {140 + 7 * i for i in range(20)} | set(range(340, 360))
+    assert len(found & set(range(140, 340))) == 180 and not found & twins
+    links = lambda: {(min(r), max(r)) for r in simhash_wide.wide_links(fps, scratch).collect()}
+    got = links()
+    assert not {x for pair in got for x in pair} & found
+    monkeypatch.setattr(simhash_wide, "_lonely", lambda ids, fps: ids.limit(0))
+    assert got == links() and len(got) > 100
+
+
 def test_resemblance_by_sketches():
     rng = np.random.default_rng(16)
     for n, m, k in ((100, 80, 60), (3000, 2500, 2400), (300, 4000, 290), (0, 5, 0), (700, 700, 700)):
