@@ -39,6 +39,8 @@ from linkweave.llm.common import table, tidy
 LONG_WORD = 256
 BLOCK_CHARS = 1_000_000
 KNOWN_WORDS = 2_000_000
+#: Of a codec for one task.
+TASK_WORDS = 100_000
 #: Token rows that one recursive query may make: the sum of squared lengths.
 QUERY_ROWS = 3_000_000
 
@@ -71,7 +73,7 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes with one vocabulary; holds its own database."""
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, pattern: str, most_known: int = KNOWN_WORDS):
         import duckdb
         import regex
 
@@ -81,6 +83,7 @@ class Codec:
         self.odd_space = re.compile(r" (?:\s|\Z)").search
         #: Ids of words and of pieces alike.
         self.known: dict[str, bytes] = {}
+        self.most_known = most_known
         ids = np.array(list(self.ranks.values()), dtype=np.int32)
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         self.db = duckdb.connect()
@@ -172,7 +175,7 @@ class Codec:
                 chars += len(texts[at])
                 at += 1
             pieces = set().union(*held)
-            if len(self.known) + len(pieces) > KNOWN_WORDS:
+            if len(self.known) + len(pieces) > self.most_known:
                 self.known = {}
             new = [x for x in pieces if x not in self.known]
             if self.cut_safely:  # letters after an optional space are one word
@@ -228,8 +231,9 @@ def vocabulary(path: str | None = None, pattern: str | None = None) -> tuple[byt
 def encode_column(df: DataFrame, keep: list[str], path: str | None = None, pattern: str | None = None, digests: bool = False, reuse: bool = True) -> DataFrame:
     """Columns ``keep`` of ``df`` (longs or strings) and the text's ids.
 
-    With ``reuse`` a Python worker keeps its table of known words for its next
-    tasks: about a third less work, up to 400 MB held between tasks.
+    With ``reuse`` a Python worker keeps its codec and known words for its next
+    tasks: up to a third less work, up to 400 MB held between tasks.  Without,
+    each task has a codec of its own with fewer known words, closed at its end.
 
     With ``digests`` only: n_tokens, ids_sha256, decoded_sha256; else also
     ``ids`` (packed little-endian unsigned 32-bit integers).
@@ -238,7 +242,15 @@ def encode_column(df: DataFrame, keep: list[str], path: str | None = None, patte
     names = [*keep, *([] if digests else ["ids"]), "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(*given.value)
+        codec = _codec(*given.value) if reuse else Codec(*given.value, TASK_WORDS)
+        try:
+            yield from coded(codec, batches)
+        finally:
+            if not reuse:
+                codec.db.close()
+                codec.known = {}
+
+    def coded(codec: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -247,8 +259,6 @@ def encode_column(df: DataFrame, keep: list[str], path: str | None = None, patte
                 cols = [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
                 own = [] if digests else [pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *own, *cols], names=names)
-        if not reuse:
-            codec.known = {}
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), *([] if digests else ["ids binary"]), "n_tokens long, ids_sha256 string, decoded_sha256 string"])

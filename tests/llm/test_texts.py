@@ -322,6 +322,8 @@ def test_bpe_matches_the_library():
 
 def test_bpe_odd_rows(odd_docs, no_docs):
     rows = bpe.encode_column(odd_docs, ["doc_id"]).collect()
+    own = bpe.encode_column(odd_docs, ["doc_id"], reuse=False).collect()
+    assert sorted(map(str, own)) == sorted(map(str, rows)) and not any(r["ids"] is None for r in own)
     assert len(rows) == 11
     by_text = {r["doc_id"]: r for r in rows}
     assert by_text[3]["n_tokens"] == 0 and by_text[3]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
