@@ -34,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm.common import table, tidy
+from linkweave.llm.common import TEXT_ROWS, table, tidy
+from linkweave.plans.scratch import Scratch
 
 LONG_WORD = 256
 BLOCK_CHARS = 1_000_000
@@ -233,7 +234,8 @@ def encode_column(df: DataFrame, keep: list[str], path: str | None = None, patte
 
     With ``reuse`` a Python worker keeps its codec and known words for its next
     tasks: up to a third less work, up to 400 MB held between tasks.  Without,
-    each task has a codec of its own with fewer known words, closed at its end.
+    each task has a codec of its own with fewer known words, closed at its end,
+    and the rows are written to the shared folder, few texts in an Arrow batch.
 
     With ``digests`` only: n_tokens, ids_sha256, decoded_sha256; else also
     ``ids`` (packed little-endian unsigned 32-bit integers).
@@ -262,7 +264,8 @@ def encode_column(df: DataFrame, keep: list[str], path: str | None = None, patte
 
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keep), *([] if digests else ["ids binary"]), "n_tokens long, ids_sha256 string, decoded_sha256 string"])
-    return df.select(*keep, F.col("text").alias("__text")).mapInArrow(tidy(run), schema)
+    out = df.select(*keep, F.col("text").alias("__text")).mapInArrow(tidy(run), schema)
+    return out if reuse else Scratch(df.sparkSession, "bpe").write(out, "encoded", TEXT_ROWS)
 
 
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
