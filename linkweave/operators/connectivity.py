@@ -42,7 +42,10 @@ def component_of(g: Graph, ids: DataFrame) -> DataFrame:
 
 
 def component_bitmaps(g: Graph) -> DataFrame:
-    """(comp, bucket, bitmap): the members of each component as bitmaps of 32768 ids."""
+    """(comp, bucket, bitmap): the members of each component as bitmaps of 32768 ids.
+
+    Buckets are numbered as Spark does: 1 has the ids 1 to 32768, 0 has -32767 to 0.
+    """
     own = labels(g, False).select("comp", F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("bit"))
     return own.groupBy("comp", "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 

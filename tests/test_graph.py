@@ -1,8 +1,10 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 
+from linkweave import queries
 from linkweave.operators import betweenness, connectivity, cycles, dynamic, traversal, vertices
 from linkweave.operators.components import component_labels, min_labels, star_rounds
 from linkweave.operators.graph import Graph
@@ -170,3 +172,14 @@ def test_subtrees_and_adjacency(spark):
     assert g.with_adjacency(lists).edges.count() == 11
     with pytest.raises(ValueError):
         g.with_adjacency(lists.limit(5))
+
+
+def test_bitmaps_of_zero_and_bucket_ends(spark, tmp_path):
+    # Vertices 0, 1, 32768 and 32769 in one component, negative ids in others.
+    rows = [(0, 0, 50.0), (0, 16384, 46.0), (16384, 16384, 50.0), (-16384, -16384, 50.0), (-16383, -1, 50.0), (20000, 20000, 45.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = sorted(map(tuple, queries.component_bitmaps(spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+        assert found == sorted(db.sql(queries.SQL["component_bitmaps"]).fetchall())
+    assert (0, 1, 3) in found
