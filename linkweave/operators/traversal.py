@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.operators.components import component_labels
@@ -87,6 +87,16 @@ def _search_levels(edges: DataFrame, sources: DataFrame, scratch: Scratch) -> Da
     return seen
 
 
+def split(g: Graph, own: DataFrame, wanted: DataFrame, group_edges: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, Column]:
+    """Edges (src, dst, comp) of the wanted components, the large ones among these, and the group of each other one."""
+    edges = g.edges.join(own.withColumnRenamed("id", "src"), "src").join(wanted, "comp", "left_semi")
+    edges = scratch.write(edges.select("src", "dst", "comp"), "edges")
+    sizes = edges.groupBy("comp").agg(F.count("*").alias("m"))
+    large = scratch.write(sizes.filter(F.col("m") > group_edges).select("comp"), "large")
+    groups = max(1, -(-edges.count() // max(1, group_edges)))
+    return edges, large, F.pmod(F.xxhash64("comp"), F.lit(groups)).alias("group")
+
+
 def search(g: Graph, sources: DataFrame, group_edges: int = GROUP_EDGES) -> DataFrame:
     """(source, id, dist, parent) of everything reached from the sources (column id).
 
@@ -97,13 +107,7 @@ def search(g: Graph, sources: DataFrame, group_edges: int = GROUP_EDGES) -> Data
     asked = sources.select("id").distinct().join(g.vertices, "id", "left_semi")
     own = component_labels(spark, g.edges, scratch=scratch)
     placed = scratch.write(asked.join(own, "id", "left").select(F.col("id").alias("source"), "comp"), "sources")
-    wanted = placed.select("comp").dropna().distinct()
-    edges = g.edges.join(own.withColumnRenamed("id", "src"), "src").join(wanted, "comp", "left_semi")
-    edges = scratch.write(edges.select("src", "dst", "comp"), "edges")
-    sizes = edges.groupBy("comp").agg(F.count("*").alias("m"))
-    large = scratch.write(sizes.filter(F.col("m") > group_edges).select("comp"), "large")
-    total = edges.count()
-    group = F.pmod(F.xxhash64("comp"), F.lit(max(1, -(-total // max(1, group_edges))))).alias("group")
+    edges, large, group = split(g, own, placed.select("comp").dropna().distinct(), group_edges, scratch)
     left = edges.join(large, "comp", "left_anti").select("src", "dst", group).groupBy("group")
     right = placed.dropna().join(large, "comp", "left_anti").select("source", "comp", group).groupBy("group")
     found = left.cogroup(right).applyInPandas(_search_group, "source long, id long, dist long, parent long").withColumn("parent", F.when(F.col("parent") != NONE, F.col("parent")))

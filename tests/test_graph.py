@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from linkweave import queries
 from linkweave.operators import betweenness, connectivity, cycles, dynamic, traversal, vertices
@@ -183,3 +184,43 @@ def test_bitmaps_of_zero_and_bucket_ends(spark, tmp_path):
         db.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
         assert found == sorted(db.sql(queries.SQL["component_bitmaps"]).fetchall())
     assert (0, 1, 3) in found
+
+
+def brute_paths(pairs, wanted):
+    """How often each vertex is on the path from the first to the second, by smallest parents."""
+    out = defaultdict(int)
+    for t, r in wanted:
+        dist, near = brute_search(pairs, t)
+        while r in dist:
+            out[r] += 1
+            if r == t:
+                break
+            r = min(x for x in near[r] if dist.get(x) == dist[r] - 1)
+    return out
+
+
+@pytest.mark.parametrize("limit", [10**6, 25, 0])
+def test_pairwise_with_super_root(spark, limit):
+    # Three parts of different size, the vertices 90 to 99 without edges, 500 unknown.
+    big = 2**60
+    pairs = random_pairs(30, 60, 1) | {(a + 30, b + 30) for a, b in random_pairs(20, 24, 2)} | {(a + big, b + big) for a, b in random_pairs(6, 7, 3)}
+    ids = [*range(100), *range(big, big + 6)]
+    g = Graph.from_edges(spark.createDataFrame([(i,) for i in ids], "id long"), edges_of(spark, pairs))
+    rng = random.Random(4)
+    terms = {(rng.choice(ids), rng.choice(ids)) for _ in range(60)} | {(x, x) for x in (5, 91, big, 500)} | {(rng.choice(ids[:50] + ids[-6:]), -1) for _ in range(30)} | {(92, -1), (93, -1), (500, -1)}
+    towns = [0, 7, 7, 31, 35, 92, 500, 3, big + 2]
+    want = brute_paths(pairs, [(t, r) for t, r in terms if r != -1 and t != 500] + [(t, r) for t, x in terms if x == -1 and t != 500 for r in set(towns)])
+    frame = spark.createDataFrame(sorted(terms), "terminal long, root long")
+    found = betweenness.pairwise(g, g.vertices, frame, spark.createDataFrame([(x,) for x in towns], "id long"), -1, limit)
+    assert dict(map(tuple, found.collect())) == {i: want[i] for i in ids}
+
+
+def test_super_root_writes_no_pairs_of_other_components(spark, monkeypatch):
+    n, rows, write = 400, [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda *a, **b: (out := write(*a, **b), rows.append(out.count()))[0])
+    pairs = [(3 * i + j, 3 * i + j + 1) for i in range(n) for j in range(2)]
+    g = Graph(spark.range(3 * n), edges_of(spark, pairs))
+    terms = g.vertices.filter("id % 3 > 0").select(F.col("id").alias("terminal"), F.lit(-1).cast("long").alias("root"))
+    found = betweenness.pairwise(g, g.vertices, terms, g.vertices.filter("id % 3 = 0"), -1)
+    assert dict(map(tuple, found.collect())) == {3 * i + j: (2, 2, 1)[j] for i in range(n) for j in range(3)}
+    assert max(rows) <= 3 * n
